@@ -68,9 +68,8 @@ def constants(n: int, seed: int, odd: bool = False) -> np.ndarray:
     return words | np.uint64(1) if odd else words
 
 
-_BYTE = constants(256, 11)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+_BYTE_LOWER = constants(256, 11)
+_BYTE_LOWER[65:91] = _BYTE_LOWER[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x5851F42D4C957F2D
@@ -90,15 +89,15 @@ def _power(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs without ASCII white space) and each row's range among them.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (runs without separator bytes, by default ASCII white space) and each row's range among them.
 
-    ``fold`` treats A-Z as a-z. Returns ``(hashes, borders)``: row i has ``hashes[borders[i]:borders[i + 1]]``.
+    A-Z count as a-z. Returns ``(hashes, borders)``: row i has ``hashes[borders[i]:borders[i + 1]]``.
     """
     n, rows = len(data), len(offsets) - 1
     if not n:
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
@@ -110,7 +109,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum((_BYTE_LOWER if fold else _BYTE)[data] * _power(_BASE, n), out=sums[1:])
+    np.cumsum(_BYTE_LOWER[data] * _power(_BASE, n), out=sums[1:])
     h = (sums[end] - sums[start]) * _power(_INVERSE, n)[start]
     return mix(h + (end - start).astype(np.uint64)), np.searchsorted(start, offsets)
 
