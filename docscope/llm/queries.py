@@ -13,6 +13,7 @@ from docscope.llm.piece_codec import op7_piece_codec
 from docscope.llm.pii import op3_pii
 from docscope.llm.quality_classifier import op9_quality_classifier
 from docscope.llm.quality_rules import op6_quality_rules
+from docscope.llm.repeat_spans import op5_repeat_spans
 from docscope.llm.secret_scan import op2_secret_scan
 from docscope.llm.url_filters import op1_url_filters
 
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_secret_scan,
         op3_pii,
         op4_language_id,
+        op5_repeat_spans,
         op6_quality_rules,
         op7_piece_codec,
         op8_minhash_near_dedup,
