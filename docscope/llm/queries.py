@@ -10,6 +10,7 @@ from docscope.llm.decontamination import op10_decontamination
 from docscope.llm.language_id import op4_language_id
 from docscope.llm.lsh_forest import op8_minhash_near_dedup
 from docscope.llm.piece_codec import op7_piece_codec
+from docscope.llm.oracle import ORACLE as ORACLE
 from docscope.llm.pii import op3_pii
 from docscope.llm.quality_classifier import op9_quality_classifier
 from docscope.llm.quality_rules import op6_quality_rules
@@ -32,4 +33,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decontamination,
     )
 }
-ORACLE: dict[str, str] = {}
