@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -17,11 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows that one partition of a small cut table should hold.
+ROWS_A_PART = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without that setting gets one of its own.
+    The folder comes from ``spark.checkpoint.dir``; only a session without that setting gets one of its own. ``rows``,
+    a bound on the row count where one is known, keeps small tables from being spread over as many files as a shuffle
+    has partitions.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_PART)))
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
@@ -30,6 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files of tables that nothing refers to any more.
+
+    Spark's cleaner acts on the driver's garbage collections, which an iterative job on a roomy heap may not see.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield ``(first, last, data, offsets)`` for runs of rows of at most ``limit`` bytes (one row at least).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docscope.llm.common import cut
+from docscope.llm.common import cut, release
 
 #: Rounds grow with the logarithm of the node count; reaching this many means that the edges changed while running.
 MAX_ROUNDS = 60
@@ -38,8 +38,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     print_of = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = print_of(edges)
     for _ in range(MAX_ROUNDS if before[0] else 0):
-        edges = cut(_small_star(_large_star(edges)))
+        # A round never has more edges than twice the one before it.
+        edges = cut(_small_star(_large_star(edges)), 2 * before[0])
         now = print_of(edges)
+        release(edges.sparkSession)
         if now == before:
             break
         before = now

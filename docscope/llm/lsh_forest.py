@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docscope.llm.common import constants, cut, mix, shingle_hashes, table, text_slices, word_hashes
+from docscope.llm.common import constants, cut, mix, release, shingle_hashes, table, text_slices, word_hashes
 from docscope.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 75
@@ -178,10 +178,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("cls"), F.min("sig").alias("sig"))
     )
     pairs = cut(candidates(classes, parts))
-    todo = pairs
+    todo, left_over = pairs, pairs.count()
     links = None
     top = 1
-    if pairs.isEmpty():
+    release(spark)
+    if not left_over:
         sets = None
     else:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
@@ -191,16 +192,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     while sets is not None:
         by = Window.partitionBy("end").orderBy(F.desc("agree"), "a", "b")
         ends = todo.select("*", F.explode(F.array("a", "b")).alias("end"))
-        chosen = cut(ends.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top).select("a", "b").distinct())
+        chosen = cut(ends.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top).select("a", "b").distinct(), left_over)
         first = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
         second = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
         held = cut(chosen.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long"))
         links = held if links is None else links.union(held)
-        component = cut(connected_components(links))
+        component = cut(connected_components(links), left_over)
         at = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
         left = todo.join(chosen, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
-        todo = cut(left.filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b", "agree"))
-        if todo.isEmpty():
+        todo = cut(left.filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b", "agree"), left_over)
+        left_over = todo.count()
+        release(spark)
+        if not left_over:
             break
         top *= 4
     # Class -> component; one row per class, so copies of one text only ever meet as rows of an equi-join.
