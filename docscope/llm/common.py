@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(df: DataFrame) -> None:
+    """Hand this package to the session's Python workers, once: they may start where it cannot be imported."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / "docscope.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted((root / "docscope").rglob("*.py")):
+            z.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 #: Rows that one partition of a small cut table should hold.
 ROWS_A_PART = 100_000
 

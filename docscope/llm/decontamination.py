@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscope.llm.common import constants, mix, table, text_slices, word_hashes
+from docscope.llm.common import constants, mix, ship, table, text_slices, word_hashes
 
 SEED = 5
 COVER = 0.6
@@ -129,6 +129,7 @@ def _judged(batch: pa.RecordBatch, text: pa.Array, items: Items, cover: float) -
 
 def contamination(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """``(doc_id, contaminated, items, coverage)`` for every row: the items it leaks, and the largest share of any."""
+    ship(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<bigint>").alias("items"), F.lit(0.0).alias("coverage"))
     for items in _blocks(benchmark):
 
@@ -146,6 +147,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
     """``docs`` without contaminated rows."""
     names = docs.columns
+    ship(docs)
     rows = docs.select(F.struct(*names).alias("row"))
     for items in _blocks(benchmark):
 

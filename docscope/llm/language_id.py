@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscope.llm.common import table, text_slices
+from docscope.llm.common import ship, table, text_slices
 
 ORDERS, BITS = 4, 14
 BUCKETS = 1 << BITS
@@ -120,6 +120,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> Model | None:
     """Learn from ``docs (doc_id, text, lang)`` without the held-out fold; None if there is nothing to learn from."""
+    ship(docs)
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (fold_of(F.col("doc_id")) != 0))
     counts = usable.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
@@ -137,6 +138,8 @@ def fit(docs: DataFrame) -> Model | None:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)``; only the text decides."""
 
+    ship(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = None
         for batch in batches:

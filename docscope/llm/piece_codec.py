@@ -25,7 +25,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docscope.llm.common import table
+from docscope.llm.common import ship, table
 
 MARK = "▁"
 #: Segments kept with their ids, for one Python worker; the table is emptied when full. Longer ones are not kept.
@@ -240,6 +240,8 @@ def encode_documents(docs: DataFrame, model: str | None = None, keep_ids: bool =
     ``model`` is the vocabulary's path on the workers; without one each worker asks the public tokenizer package.
     """
 
+    ship(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model or default_model())
         for batch in batches:

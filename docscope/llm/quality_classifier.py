@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscope.llm.common import cut, mix, table, text_slices, word_hashes
+from docscope.llm.common import cut, mix, ship, table, text_slices, word_hashes
 
 BITS = 11
 BUCKETS = 1 << BITS
@@ -194,6 +194,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> Scorer | None:
     """Learn a scorer from the texts alone; None for an empty table."""
+    ship(docs)
     texts = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("long").alias("draw"))
     coded = cut(texts.mapInArrow(_vote_codes, "code long, draw long"))
     patterns = [(r["code"], r["count"]) for r in coded.groupBy("code").count().collect()]
@@ -233,6 +234,7 @@ def chances(scorer: Scorer | None, text: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     """``(doc_id, quality, kept)`` for every row."""
+    ship(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,6 +247,7 @@ def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
 def keep_good(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
     """``docs`` without the rows that the scorer rejects."""
     names = docs.columns
+    ship(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
