@@ -38,10 +38,15 @@ def resolve(records: DataFrame, catalog: DataFrame, index: DataFrame) -> DataFra
     return out.join(known, "canonical", "left")
 
 
-def table_rows(page: DataFrame, heading: str, header: str) -> DataFrame:
-    """Lines of the first pipe table behind a heading line: ``(ln, line)``, header and separator left out.
+# The column labels of a reference table.
+HEADER = ("name", "description", "type", "default value")
 
-    ``page`` is ``(ln, line)``. The table is the first run of lines that start with a pipe behind the heading.
+
+def table_rows(page: DataFrame, heading: str) -> DataFrame:
+    """Lines of the first pipe table behind a heading line: ``(ln, line, header)``, header and separator left out.
+
+    ``page`` is ``(ln, line)``. The table is the first run of lines that start with a pipe behind the heading, even
+    past another heading; its first line is the header.
     """
     marked = page.withColumn("pipe", F.col("line").startswith("|"))
     from_ = F.min(F.when(F.col("line") == heading, F.col("ln"))).over(Window.partitionBy())
@@ -50,7 +55,14 @@ def table_rows(page: DataFrame, heading: str, header: str) -> DataFrame:
     inside = inside.withColumn("start", start).filter(F.col("ln") >= F.col("start"))
     stop = F.min(F.when(~F.col("pipe"), F.col("ln"))).over(Window.partitionBy())
     rows = inside.withColumn("stop", stop).filter(F.col("stop").isNull() | (F.col("ln") < F.col("stop")))
-    return rows.filter((F.col("line") != header) & ~F.col("line").rlike(r"^[|](?:\s*:?-+:?\s*[|])+$")).select("ln", "line")
+    rows = rows.withColumn("header", F.min_by("line", "ln").over(Window.partitionBy()))
+    return rows.filter((F.col("ln") != F.col("start")) & ~F.col("line").rlike(r"^[|](?:\s*:?-+:?\s*[|])+$")).select("ln", "line", "header")
+
+
+def header_fits(header: Column) -> Column:
+    """Whether a header line carries the expected labels."""
+    labels = F.transform(F.split(F.trim(F.regexp_replace(header, "^[|]|[|]$", "")), "[|]"), lambda c: F.lower(F.trim(F.regexp_replace(F.trim(c), "`", ""))))
+    return labels == F.lit(list(HEADER))
 
 
 def cells(line: Column) -> Column:
@@ -81,7 +93,7 @@ def parse_rows(rows: DataFrame) -> DataFrame:
         keep(F.col("names")[0]).alias("name"),
         keep(F.slice("names", 2, F.greatest(F.lit(0), F.size("names") - 1))).alias("aliases"),
         keep(T.link_target(F.col("cell")[1])).alias("description"),
-        keep(F.col("cell")[2]).alias("type"),
+        keep(F.regexp_replace(F.col("cell")[2], "^`|`$", "")).alias("type"),
         keep(F.when(default.isin("", "NULL"), F.lit(None)).otherwise(default)).alias("default_value"),
         keep(F.col("cell")[3] == "").alias("default_is_empty_cell"),
     )

@@ -140,18 +140,18 @@ def q09_label_index(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH page AS (""" + X.values(X.REF_PAGE, "ln, line") + """),
   b AS (SELECT min(ln) AS at FROM page WHERE line = '### Settings'), s AS (SELECT min(ln) AS at FROM page, b WHERE starts_with(line, '|') AND ln > b.at),
   e AS (SELECT min(ln) AS at FROM page, s WHERE NOT starts_with(line, '|') AND ln > s.at),
-  r AS (SELECT page.* FROM page, s, e WHERE ln >= s.at AND ln < e.at AND line <> '| Name | Description | Type | Default |' AND NOT regexp_full_match(line, '[|](\\s*:?-+:?\\s*[|])+')),
+  r AS (SELECT page.* FROM page, s, e WHERE ln >= s.at AND ln < e.at AND ln > s.at AND NOT regexp_full_match(line, '[|](\\s*:?-+:?\\s*[|])+')),
   c AS (SELECT *, CASE WHEN line LIKE '|%|' THEN list_transform(string_split(substr(line, 2, length(line) - 2), '|'), lambda x: trim(x)) END AS cell FROM r),
   n AS (SELECT *, list_transform(string_split(cell[1], ','), lambda x: trim(trim(x), '`')) AS names FROM c),
   p AS (SELECT *, CASE WHEN cell IS NULL THEN 'not a table row' WHEN len(cell) <> 4 THEN 'not four cells'
     WHEN len(list_filter(names, lambda x: NOT regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]*'))) > 0 THEN 'not an identifier' END AS problem FROM n)
   SELECT ln, problem, CASE WHEN problem IS NULL THEN names[1] END AS name, CASE WHEN problem IS NULL THEN array_to_string(names[2:], ',') END AS aliases,
     CASE WHEN problem IS NULL THEN regexp_replace(cell[2], '\\{%\\s*link\\s+(.+?)\\s*%\\}', '\\1') END AS description,
-    CASE WHEN problem IS NULL THEN cell[3] END AS type,
+    CASE WHEN problem IS NULL THEN trim(cell[3], '`') END AS type,
     CASE WHEN problem IS NULL AND trim(cell[4], '`') NOT IN ('', 'NULL') THEN trim(cell[4], '`') END AS default_value,
     CASE WHEN problem IS NULL THEN cell[4] = '' END AS default_is_empty_cell FROM p""")
 def q10_table_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.table_rows(X.frame(spark, X.REF_PAGE, "ln, line"), "### Settings", "| Name | Description | Type | Default |")
+    rows = C.table_rows(X.frame(spark, X.REF_PAGE, "ln, line"), "### Settings")
     return C.parse_rows(rows).withColumn("aliases", F.array_join("aliases", ","))
 
 
