@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -44,7 +45,7 @@ ROWS_A_PART = 100_000
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without that setting gets one of its own. ``rows``,
+    The folder comes from ``spark.checkpoint.dir``; only a local session without that setting gets one of its own. ``rows``,
     a bound on the row count where one is known, keeps small tables from being spread over as many files as a shuffle
     has partitions.
     """
@@ -54,6 +55,8 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
