@@ -13,9 +13,14 @@ from docscope.functions import text as T
 BROADCAST_ROWS = 100_000
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``limit`` rows; no more than that are looked at."""
+    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows; else unchanged, for a shuffled join."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).head(limit + 1)) <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -67,11 +72,15 @@ def mentions(docs: DataFrame, labels: DataFrame, key: str = "doc_id", distractor
     """Whole-word, case-sensitive mentions of catalog labels: ``(key, name, n, distractor)``.
 
     ``labels (label, canonical)`` holds names and aliases. Labels are identifiers, so a bounded search for them is an
-    equi-join of tokens; tokens are counted per document before the join, and the label side is broadcast only after a
-    look at its size.
+    equi-join of tokens. Labels of a checked size are broadcast, so that only tokens that are labels are ever shuffled;
+    more of them are joined by a shuffle of tokens that were counted per document first.
     """
-    counts = docs.select(key, F.explode(T.tokens(F.col("text"))).alias("label")).groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.join(small(labels.select("label", "canonical")), "label")
+    labels = labels.select("label", "canonical")
+    found = docs.select(key, F.explode(T.tokens(F.col("text"))).alias("label"))
+    if is_small(labels):
+        found = found.join(F.broadcast(labels), "label").withColumn("n", F.lit(1).cast("long"))
+    else:
+        found = found.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n")).join(labels, "label")
     return found.groupBy(key, F.col("canonical").alias("name")).agg(F.sum("n").alias("n")).withColumn("distractor", F.col("name").isin(*distractors))
 
 
@@ -95,12 +104,13 @@ def draw_order(seed: int, *key: str) -> Column:
 def sample(docs: DataFrame, bucket: str, page: str, key: str, quotas: Mapping[str, int], seed: int) -> DataFrame:
     """Draw ``quotas[bucket]`` rows of each bucket: one per page first, then more, in seeded hash order.
 
-    Ranks are taken within (bucket, page) first, so only the pages' leaders and the overflow meet in the second rank,
-    which is cut to the quota before anything else is done with it.
+    A page's leader is a grouped minimum, so no page is gathered anywhere; ranks within a bucket are cut to the
+    greatest quota before they are shuffled.
     """
     pool = docs.filter(F.col(bucket).isin(*quotas)).withColumn("draw", draw_order(seed, key))
-    turn = F.row_number().over(Window.partitionBy(bucket, page).orderBy("draw", key))
-    ranked = pool.withColumn("extra", (turn > 1).cast("int"))
+    lead = pool.groupBy(F.col(bucket).alias("lead_bucket"), F.col(page).alias("lead_page")).agg(F.min(F.struct("draw", key)).alias("lead"))
+    same = F.col(bucket).eqNullSafe(F.col("lead_bucket")) & F.col(page).eqNullSafe(F.col("lead_page"))
+    ranked = pool.join(lead, same).withColumn("extra", (F.struct("draw", key) != F.col("lead")).cast("int")).drop("lead_bucket", "lead_page", "lead")
     rank = F.row_number().over(Window.partitionBy(bucket).orderBy("extra", "draw", key))
     quota = F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))
     return ranked.withColumn("rank", rank).filter((F.col("rank") <= max(quotas.values())) & (F.col("rank") <= quota[F.col(bucket)])).drop("draw", "extra")
@@ -125,7 +135,7 @@ def census(docs: DataFrame, bucket: str, page: str, quotas: Mapping[str, int]) -
 def pilot(docs: DataFrame, bucket: str, order: str, n: int) -> DataFrame:
     """The first ``n`` rows taking one of each bucket in turn."""
     rn = F.row_number().over(Window.partitionBy(bucket).orderBy(order))
-    return docs.withColumn("rn", rn).orderBy("rn", bucket).limit(n)
+    return docs.withColumn("rn", rn).filter(F.col("rn") <= n).orderBy("rn", bucket).limit(n)
 
 
 def allocate(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
