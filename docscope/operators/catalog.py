@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docscope.functions import text as T
+from docscope.operators.sizes import small
 
 
 def alias_rows(catalog: DataFrame) -> DataFrame:
@@ -34,8 +35,8 @@ def resolve(records: DataFrame, catalog: DataFrame, index: DataFrame) -> DataFra
     """Add ``canonical`` and the catalog's ``c_type`` and ``c_scope`` to ``records (name, ...)``; null if unknown."""
     keyed = index.select(F.lower("label").alias("key"), "canonical").dropDuplicates(["key"])
     known = catalog.select(F.col("name").alias("canonical"), F.col("input_type").alias("c_type"), F.col("scope").alias("c_scope"))
-    out = records.withColumn("key", T.name_key(F.col("name"))).join(keyed, "key", "left").drop("key")
-    return out.join(known, "canonical", "left")
+    out = records.withColumn("key", T.name_key(F.col("name"))).join(small(keyed), "key", "left").drop("key")
+    return out.join(small(known), "canonical", "left")
 
 
 # The column labels of a reference table.

@@ -8,20 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docscope.functions import text as T
-
-#: A table of more rows than this is not broadcast.
-BROADCAST_ROWS = 100_000
-
-
-def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; no more than that are looked at."""
-    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows; else unchanged, for a shuffled join."""
-    return F.broadcast(df) if is_small(df, limit) else df
-
+from docscope.operators.sizes import is_small, small
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``(key, ln, line)``, ln from 1."""

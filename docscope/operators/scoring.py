@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docscope.functions import text as T
 from docscope.functions.numbers import ratio
 from docscope.operators.catalog import resolve
+from docscope.operators.sizes import small
 
 NO_ANSWER = ("provider_error", "provider_unavailable")
 FAILED = ("invalid_after_repair", "length_truncated", "unparseable")
@@ -41,7 +42,7 @@ def record_scores(records: DataFrame, catalog: DataFrame, index: DataFrame, refe
     """
     out = resolve(records, catalog, index)
     ref = reference.select(F.col("name").alias("canonical"), F.col("default_value").alias("d_value"), F.col("default_is_empty_cell").alias("d_empty"))
-    out = out.join(ref, "canonical", "left")
+    out = out.join(small(ref), "canonical", "left")
     if absent is not None:
         marks = absent.select("doc_id", F.col("key").alias("absent_key")).distinct().withColumn("listed", F.lit(True))
         out = out.join(marks, (out.doc_id == marks.doc_id) & (T.name_key(out.name) == marks.absent_key), "left").drop(marks.doc_id).drop("absent_key")
