@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docscope.llm import lsh_forest, quality_rules, url_filters
+from docscope.llm import lsh_forest, quality_rules, repeat_spans, url_filters
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"'[\x20\x09-\x0D]+'"
@@ -80,4 +80,17 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
 
-ORACLE = {"op1_url_filters": OP1, "op6_quality_rules": OP6, "op8_minhash_near_dedup": OP8}
+# Bytes as pairs of hex digits; strings are grouped by their MD5.
+OP5 = f"""WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {repeat_spans.LENGTH - 1})) AS p FROM w WHERE length(h) >= {2 * repeat_spans.LENGTH}),
+k AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, {2 * repeat_spans.LENGTH})) AS m FROM p),
+d AS (SELECT doc_id, p FROM k WHERE m IN (SELECT m FROM k GROUP BY m HAVING count(*) > 1)),
+e AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {repeat_spans.LENGTH} THEN 0 ELSE 1 END AS fresh FROM d),
+f AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM e),
+r AS (SELECT doc_id, min(p) AS a, max(p) + {repeat_spans.LENGTH} AS b FROM f GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+s AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n, max(b) AS tail, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM g JOIN w USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)"""
+
+ORACLE = {"op5_repeat_spans": OP5, "op1_url_filters": OP1, "op6_quality_rules": OP6, "op8_minhash_near_dedup": OP8}
