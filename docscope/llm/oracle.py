@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docscope.llm import lsh_forest, quality_rules, repeat_spans, url_filters
+from docscope.llm import lsh_forest, quality_rules, repeat_spans, secret_scan, url_filters
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = r"'[\x20\x09-\x0D]+'"
@@ -93,4 +93,30 @@ s AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n, max(b) AS tail, string_a
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)"""
 
-ORACLE = {"op5_repeat_spans": OP5, "op1_url_filters": OP1, "op6_quality_rules": OP6, "op8_minhash_near_dedup": OP8}
+
+
+def _quoted(pattern: str) -> str:
+    """A pattern as a SQL string, without the possessive marks, which change no match here."""
+    return "'" + pattern.replace("}+", "}").replace("'", "''") + "'"
+
+
+def _spans(kind: str, order: int, pattern: str, value: int = 0, keep: str = "TRUE") -> str:
+    return f"""SELECT doc_id, {order} AS ord, '{kind}' AS kind, CAST(coalesce(list_sum(list_transform(g[1:i], lambda y: length(y))), 0) + coalesce(list_sum(list_transform(h[1:i - 1], lambda y: length(y))), 0) AS BIGINT) AS start, h[i] AS hit, v[i] AS value
+  FROM (SELECT doc_id, g, h, v, unnest(range(1, len(h) + 1)) AS i FROM (SELECT doc_id, string_split_regex(x, {_quoted(pattern)}) AS g, regexp_extract_all(x, {_quoted(pattern)}) AS h, regexp_extract_all(x, {_quoted(pattern)}, {value}) AS v FROM t)) WHERE {keep}"""
+
+
+_MIXED = "regexp_matches(h[i], '[0-9]') AND regexp_matches(h[i], '[A-Z]') AND regexp_matches(h[i], '[a-z]')"
+_NEAR = "EXISTS (SELECT 1 FROM part y WHERE y.doc_id = x.doc_id AND y.kind IN ({}) AND abs(y.start - x.start) <= " + str(secret_scan.WINDOW) + ")"
+_ID, _SECRET = _NEAR.format("'access', 'weak_id'"), _NEAR.format("'assign', 'hex', 'weak_secret'")
+OP2 = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+part AS ({_spans('assign', 0, secret_scan.ASSIGN, 2, f'length(v[i]) >= {secret_scan.ASSIGN_LEAST}')}
+  UNION ALL {_spans('access', 1, secret_scan.ACCESS)} UNION ALL {_spans('hex', 2, secret_scan.HEX)} UNION ALL {_spans('weak_id', 3, secret_scan.WEAK_ID)}
+  UNION ALL {_spans('weak_secret', 4, '[A-Za-z0-9+/]{20,}={0,2}', 0, _MIXED)} UNION ALL {_spans('endpoint', 5, secret_scan.ENDPOINT)}),
+said AS (SELECT doc_id, ord, kind, start, kind || ':' || start || ':' || (start + length(hit)) AS span FROM part x
+  WHERE ord < 3 OR (kind = 'weak_id' AND {_SECRET}) OR (kind = 'weak_secret' AND {_ID}) OR (kind = 'endpoint' AND {_ID} AND {_SECRET})),
+s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(span, ',' ORDER BY start, ord) FILTER (ord < 3) AS base, string_agg(span, ',' ORDER BY start, ord) AS spans FROM said GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN s USING (doc_id)"""
+
+ORACLE = {"op2_secret_scan": OP2, "op5_repeat_spans": OP5, "op1_url_filters": OP1, "op6_quality_rules": OP6, "op8_minhash_near_dedup": OP8}

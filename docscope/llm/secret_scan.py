@@ -26,10 +26,10 @@ ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
-# Weak parts. Each starts at a border of its own character class, so scans stay linear.
+# Weak parts. A weak secret is a whole run of its characters that has a digit and letters in both cases.
 WEAK_ID = r"""(?i:access[_-]?key(?:[_-]?id)?|client[_-]?id|account[_-]?id|user(?:name)?)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._-]{4,}+"""
 WEAK_SECRET = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{20,}+={0,2}"
-ENDPOINT = r"""(?<![A-Za-z0-9+.-])(?:https?|ftp|s3|jdbc:[a-z]{2,12}|mongodb|postgres(?:ql)?|amqps?|redis)://[^\s"'<>]{3,}+"""
+ENDPOINT = r"""(?:https?|ftp|s3|jdbc:[a-z]{2,12}|mongodb|postgres(?:ql)?|amqps?|redis)://[^\x20\x09-\x0D"'<>]{3,}+"""
 
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 
