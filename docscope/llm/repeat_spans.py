@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docscope.llm.common import _INVERSE, _power, constants, cut, mix, release, table
+from docscope.llm.common import constants, cut, _INVERSE, mix, _power, release, ship, table
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # grams in a string: 169
@@ -91,37 +91,45 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
         yield np.frombuffer((x.as_py() or "").encode(), np.uint8)
 
 
-def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of segments, about 50,000 rows at a time: bucket, segment, key, first, n, anchor."""
+    got: list[tuple[np.ndarray, ...]] = []
+    waiting = 0
     for batch in batches:
         keys = batch.column("key").to_numpy(zero_copy_only=False)
-        got: list[tuple[np.ndarray, ...]] = []
-        waiting = 0
-
-        def flush(got: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            cols = [np.concatenate(x) for x in zip(*got, strict=True)]
-            cols = [c.view(np.int64) if c.dtype == np.uint64 else c for c in cols]
-            arrays = [pa.array(c) for c in cols[:3]] + [pa.array(c.astype(np.int32)) for c in cols[3:]]
-            return pa.RecordBatch.from_arrays(arrays, ["bucket", "seg", "key", "first", "n", "anchor"])
-
         for key, d in zip(keys, _texts(batch.column("text")), strict=True):
             bucket, seg, first, n, anchor = segments(d)
             if len(bucket):
-                got.append((bucket, seg, np.full(len(bucket), key, np.int64), first, n, anchor))
+                got.append((bucket.view(np.int64), seg.view(np.int64), np.full(len(bucket), key, np.int64), first.astype(np.int32), n.astype(np.int32), anchor.astype(np.int32)))
                 waiting += len(bucket)
             if waiting > 50_000:
-                yield flush(got)
+                yield [np.concatenate(x) for x in zip(*got, strict=True)]
                 got, waiting = [], 0
-        if got:
-            yield flush(got)
+    if got:
+        yield [np.concatenate(x) for x in zip(*got, strict=True)]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments with how often they were seen and one of their places, combined before the shuffle."""
+    for cols in _listed(batches):
+        _, at, times = np.unique(cols[1], return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in cols] + [pa.array(times)], ["bucket", "seg", "key", "first", "n", "anchor", "times"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, seg, key, first, n, _ in _listed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(key), pa.array(first), pa.array(n.astype(np.int16))], ["seg", "key", "first", "n"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut wanted segments out of their texts; segments of split buckets go out twice, under finer names."""
     names = ["bucket", "seg", "n", "anchor", "body"]
+    before = None
     for batch in batches:
         rows: list[tuple] = []
-        for d, wanted in zip(_texts(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
-            for w in wanted:
+        for key, d, wanted in zip(batch.column("key").to_pylist(), _texts(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
+            again, before = key == before, key
+            for w in () if again else wanted:  # copies of a text stand together
                 first, n, anchor = w["first"], w["n"], w["anchor"]
                 body = d[first : first + n - 1 + LENGTH].tobytes()
                 if not w["split"]:
@@ -210,7 +218,12 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     size = 0
 
-    def done(rows: pa.Table) -> pa.RecordBatch | None:
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        order = np.lexsort((rows["seg"].to_numpy(), rows["bucket"].to_numpy()))
+        bucket, seg = rows["bucket"].to_numpy()[order], rows["seg"].to_numpy()[order]
+        fresh = np.ones(len(order), bool)  # one row for each segment of a bucket
+        fresh[1:] = (bucket[1:] != bucket[:-1]) | (seg[1:] != seg[:-1])
+        rows = rows.take(pa.array(order[fresh]))
         bucket = rows["bucket"].to_numpy()
         n, anchor = rows["n"].to_numpy(), rows["anchor"].to_numpy()
         found = sort_block(bucket, n, anchor, rows["body"].to_pylist())
@@ -266,25 +279,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Places are named by the text's hash, so equal texts share what is found for them.
     """
+    ship(docs)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    listed = texts.filter(F.octet_length("text") >= LENGTH).select("key", "text").mapInArrow(_list, "bucket long, seg long, key long, first int, n int, anchor int")
-    place = F.struct("key", "first", "n", "anchor")
-    found = listed.groupBy("bucket", "seg").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("place"))
-    sizes = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"))
-    status = cut(found.join(sizes, "bucket").filter("times > 1 OR kinds > 1"))
+    long = texts.filter(F.octet_length("text") >= LENGTH).select("key", "text")
+    # One shuffle by bucket serves both counts: places of a segment, and segments of a bucket.
+    counted = long.mapInArrow(_counted, "bucket long, seg long, key long, first int, n int, anchor int, times long").repartition(parts, "bucket")
+    found = counted.groupBy("bucket", "seg").agg(F.sum("times").alias("times"), F.min(F.struct("key", "first", "n", "anchor")).alias("place"))
+    found = found.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    status = cut(found.filter("times > 1 OR kinds > 1"))
+    release(docs.sparkSession)
     wanted = status.filter("kinds > 1").select("place.key", F.struct("bucket", "seg", "place.first", "place.n", "place.anchor", (F.col("kinds") > SPLIT).alias("split")).alias("w"))
     wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
-    bodies = texts.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).mapInArrow(_fetch, "bucket long, seg long, n int, anchor int, body binary")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = bodies.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    ties = cut(ordered.mapInArrow(_sort, "seg long, bits binary"))
-    release(docs.sparkSession)
-    once = ties.groupBy("seg").agg(F.collect_list("bits").alias("all"))
-    known = status.filter("times > 1").select("bucket", "seg", F.lit(None).cast("binary").alias("bits"))
-    single = status.filter("times = 1").join(once, "seg").select("bucket", "seg", F.explode("all").alias("bits"))
-    verdict = cut(known.union(single))
-    runs = listed.join(verdict, ["bucket", "seg"]).groupBy("key").agg(F.collect_set(F.struct("first", "n", "bits")).alias("runs"))
-    return texts.join(runs, "key", "left").select("doc_id", "text", "runs").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # Texts are shuffled by key once: both joins with them read the same exchange, for which their columns are alike.
+    held = texts.join(wanted, "key").select("key", "doc_id", "text", "wanted")
+    bodies = held.mapInArrow(_fetch, "bucket long, seg long, n int, anchor int, body binary")
+    ties = bodies.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort, "seg long, bits binary")
+    known = status.filter("times > 1").select("seg", F.lit(None).cast("binary").alias("bits"))
+    single = ties.join(status.filter("times = 1").select("seg"), "seg", "left_semi")
+    places = long.mapInArrow(_placed, "seg long, key long, first int, n short")
+    runs = places.join(known.union(single), "seg").groupBy("key").agg(F.collect_set(F.struct("first", "n", "bits")).alias("runs"))
+    out = texts.join(runs, "key", "left").select("key", "doc_id", "text", "runs")
+    return out.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op5_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
