@@ -184,12 +184,18 @@ def _vote_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     power = 3 ** np.arange(len(LABELLERS))
+    seen: set[int] = set()
     for batch in batches:
+        fresh = []
+        for draw in batch.column("draw").to_pylist():  # copies of a text count once, and cost nothing more
+            fresh.append(draw not in seen)
+            seen.add(draw)
+        batch = batch.filter(pa.array(fresh, pa.bool_()))
         codes, rows = [np.zeros(0, np.int64)], []
         for _, _, data, offsets in text_slices(batch.column("text")):
             codes.append(votes(data, offsets) @ power)
             rows += [x.tobytes() for x in features(data, offsets).astype(np.float16)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(rows, pa.binary())], ["code", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes)), pa.array(rows, pa.binary()), batch.column("draw")], ["code", "x", "draw"])
 
 
 def fit(docs: DataFrame) -> Scorer | None:
@@ -208,7 +214,9 @@ def fit(docs: DataFrame) -> Scorer | None:
     wide, narrow = sorted(limit.values(), reverse=True)
     few = [c for c, s in side.items() if limit[s] == wide]
     drawn = coded.filter((F.col("draw") < narrow) | ((F.col("draw") < wide) & F.col("code").isin(few))).select("draw").distinct()
-    rows = texts.filter(F.col("draw") < wide).join(drawn, "draw", "left_semi").dropDuplicates(["draw"]).select("text").mapInArrow(_features, "code long, x binary").collect()
+    # About 2 * SAMPLE numbers, whatever the corpus: small enough to send to the texts.
+    rows = texts.filter(F.col("draw") < wide).join(F.broadcast(drawn), "draw", "left_semi").mapInArrow(_features, "code long, x binary, draw long")
+    rows = rows.groupBy("draw").agg(F.min(F.struct("code", "x")).alias("row")).select("row.*").collect()
     rows.sort(key=lambda r: (r["code"], bytes(r["x"])))
     if not rows:
         return None
