@@ -50,7 +50,7 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     has partitions.
     """
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_A_PART)))
+        df = df.coalesce(parts_for(rows))
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
@@ -61,6 +61,10 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parts_for(rows: int) -> int:
+    return max(1, -(-rows // ROWS_A_PART))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle and checkpoint files of tables that nothing refers to any more.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docscope.llm.common import constants, cut, mix, release, shingle_hashes, table, text_slices, word_hashes
+from docscope.llm.common import constants, cut, mix, release, shingle_hashes, ship, table, text_slices, word_hashes
 from docscope.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 75
@@ -170,6 +170,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Return ``(doc_id, n_shingles, component_id, kept)`` for ``docs (doc_id, text, ...)``."""
     spark = docs.sparkSession
+    ship(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = cut(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, ka long, kb long, sig binary"))
     classes = cut(
@@ -185,21 +186,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not left_over:
         sets = None
     else:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
         texts = docs.select(F.col("doc_id").alias("cls"), "text").join(nodes, "cls", "left_semi")
         sets = cut(texts.mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"]))
     component = None
     while sets is not None:
-        by = Window.partitionBy("end").orderBy(F.desc("agree"), "a", "b")
-        ends = todo.select("*", F.explode(F.array("a", "b")).alias("end"))
-        chosen = cut(ends.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top).select("a", "b").distinct(), left_over)
+        # The best pairs of each row as the greater end, and of each row as the lesser one.
+        place = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("agree"), "a", "b"))
+        picked = (place("a") <= top) | (place("b") <= top)
+        ranked = cut(todo.select("a", "b", "agree", picked.alias("picked")), left_over)
+        chosen = ranked.filter("picked").select("a", "b")
         first = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
         second = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
         held = cut(chosen.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long"))
         links = held if links is None else links.union(held)
-        component = cut(connected_components(links), left_over)
+        component = cut(connected_components(links, python=True), left_over)
         at = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
-        left = todo.join(chosen, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left")
+        left = ranked.filter("NOT picked").join(at("a"), "a", "left").join(at("b"), "b", "left")
         todo = cut(left.filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b", "agree"), left_over)
         left_over = todo.count()
         release(spark)
