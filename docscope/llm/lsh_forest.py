@@ -7,6 +7,11 @@ with the longest common prefix; how deep that prefix is depends on how crowded t
 the tree's first ``DEPTH`` values become candidates, ranked by the agreement of their whole signatures. Candidates
 are then confirmed on the full sets, best first, in rounds: a pair whose ends are already connected needs no check.
 
+The forest finds most links but promises none, so a prefix-filter join finds the rest: two sets of the least similarity
+share a value among the first of each in any one order of all shingles (common ones last, so that shared passages meet
+in few prefixes), and every pair of different components that meets there, and is not too far in by size and position,
+is confirmed too. The links between components are then complete.
+
 Edge cases: a null or blank text has an empty set and is linked with nothing; fewer than five words make one shingle;
 equal sets are one class before any candidate search, so copies cost nothing more; repeated rows and null ids are
 kept as rows (a null id has no component of its own: the row gets the least id of its class, or null). An empty table
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 
 from docscope.llm.common import constants, cut, mix, release, shingle_hashes, ship, table, text_slices, word_hashes
 from docscope.llm.components import connected_components
+from docscope.operators.sizes import small
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH = 16, 3
@@ -32,6 +38,16 @@ HASHES = TREES * DEPTH
 REACH, PROPOSE = 12, 3
 #: Signature agreement below which a pair of 75 % similarity is not expected (four standard deviations).
 AGREE = HASHES // 2
+#: Documents looked at for common shingles and how many of those are kept; both only decide the order of prefixes.
+LOOK, COMMON = 20_000, 200_000
+#: Partners a row meets for one shingle before the pairs that are then still open are all taken.
+FEW = 4
+#: Pairs of a shingle that are compared at once.
+BLOCK = 1 << 20
+#: Up to so many rows of a shingle all its pairs are taken at once.
+SMALL = 32
+#: Shingles between components that are broadcast; more of them are joined by a shuffle.
+MIXED_ROWS = 1_000_000
 
 _SEEDS = constants(HASHES, 41)
 _ODD = constants(HASHES, 43, odd=True)
@@ -64,8 +80,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = _set_key(s)
                 n.append(len(s)), ka.append(a), kb.append(b), sig.append(signature(s))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ka, pa.int64()), pa.array(kb, pa.int64()), pa.array(sig, pa.binary())],
-            ["doc_id", "n_shingles", "ka", "kb", "sig"],
+            [batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), pa.array(n, pa.int64()), pa.array(ka, pa.int64()), pa.array(kb, pa.int64()), pa.array(sig, pa.binary())],
+            ["doc_id", "row_key", "n_shingles", "ka", "kb", "sig"],
         )
 
 
@@ -167,30 +183,140 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Return ``(doc_id, n_shingles, component_id, kept)`` for ``docs (doc_id, text, ...)``."""
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, data, offsets in text_slices(batch.column("text")):
+            out = np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(*word_hashes(data, offsets), SHINGLE)])
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], ["token"])
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that recur in some of the documents, and their counts there."""
+    every = max(1, docs.count() // LOOK)
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text").mapInArrow(_shingles, "token long")
+    rows = some.groupBy("token").count().filter("count > 1").orderBy(F.desc("count"), "token").limit(COMMON).collect()
+    found = sorted((r["token"] % 2**64, r["count"]) for r in rows)
+    return np.array([x for x, _ in found], np.uint64), np.array([c for _, c in found], np.int64)
+
+
+def _prefixes(common: np.ndarray, counts: np.ndarray):
+    """A mapper to ``(row_key, n, prefix)``: the first values of each set that a partner must share one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, out = [], []
+            for _, _, data, offsets in text_slices(batch.column("text")):
+                for s in shingle_hashes(*word_hashes(data, offsets), SHINGLE):
+                    n.append(len(s))
+                    if len(common):
+                        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                        s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
+                    out.append(s[: len(s) + PERCENT * -len(s) // 100 + 1].tobytes() if len(s) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["row_key", "n", "prefix"])
+
+    return run
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``left`` is how many values of the set stand from this one on."""
+    for batch in batches:
+        texts = batch.column("prefix").to_pylist()
+        size = np.array([len(x) // 8 for x in texts], np.int64)
+        n = np.repeat(batch.column("n").to_numpy(), size)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        ends = [np.repeat(batch.column(c).to_numpy(), size) for c in ("cls", "component")]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.frombuffer(b"".join(texts), np.int64), *ends, n, n - place)], ["token", "cls", "component", "n", "left"])
+
+
+def _meeting(token: int, cls: np.ndarray, comp: np.ndarray, n: np.ndarray, left: np.ndarray, few: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different components at one shingle that size and position allow; ``few`` for each row, or all."""
+    if few:
+        mixed = np.argsort(mix(cls.view(np.uint64) ^ np.uint64(token % 2**64)))
+        cls, comp, n, left = cls[mixed], comp[mixed], n[mixed], left[mixed]
+    _, group, size = np.unique(comp, return_inverse=True, return_counts=True)
+    order = np.lexsort((group, -size[group]))  # the largest component first: its rows only meet those of others
+    cls, n, left, group = cls[order], n[order], left[order], group[order]
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    border = [*first.tolist(), len(cls)]
+    for a, b in zip(border[1:-1], border[2:], strict=True):
+        for x in range(a, b, step := max(1, BLOCK // a)):
+            y = min(b, x + step)
+            # The shared values are at most those from here on.
+            ok = (100 + PERCENT) * np.minimum(left[x:y, None], left[None, :a]) >= PERCENT * (n[x:y, None] + n[None, :a])
+            if few:
+                ok &= np.cumsum(ok, axis=1) <= few
+            p, q = np.nonzero(ok)
+            yield cls[x + p], cls[q]
+
+
+def _near_rows(token: np.ndarray, cls: np.ndarray, comp: np.ndarray, n: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs for shingles of at most SMALL rows, many shingles at once."""
+    for s in range(1, min(SMALL, len(token))):
+        q = np.flatnonzero(token[s:] == token[:-s])
+        if not len(q):
+            return
+        p = q + s
+        ok = (comp[p] != comp[q]) & ((100 + PERCENT) * np.minimum(left[p], left[q]) >= PERCENT * (n[p] + n[q]))
+        yield cls[p[ok]], cls[q[ok]]
+
+
+def _meet(few: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64)] * 5
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        made = 0
+
+        def batch_of() -> pa.RecordBatch:
+            p, q = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
+
+        for batch in _ended(batches):
+            if batch is not None:
+                kept = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(kept)]
+            token = kept[0]
+            if not len(token):
+                continue
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            border = [*first.tolist(), len(token)]
+            if batch is not None:
+                border.pop()  # the last shingle may go on
+            size = np.diff(border)
+            some = [c[: border[-1]][np.repeat(size <= SMALL, size)] for c in kept]
+            out += [x for x in _near_rows(*some) if len(x[0])]
+            made = sum(len(x[0]) for x in out)
+            for k in np.flatnonzero(size > SMALL).tolist():
+                x, y = border[k : k + 2]
+                for pair in _meeting(int(token[x]), *(c[x:y] for c in kept[1:]), few):
+                    out.append(pair)
+                    made += len(pair[0])
+                    if made > BLOCK // 8:
+                        yield batch_of()
+                        out, made = [], 0
+            kept = [c[border[-1] :] for c in kept]
+        if out:
+            yield batch_of()
+
+    return run
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFrame | None, component: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Confirm ``pairs (a, b, agree)``, best first, beside ``links``; returns the links and their components."""
     spark = docs.sparkSession
-    ship(docs)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = cut(docs.select("doc_id", "text").mapInArrow(_sign, "doc_id long, n_shingles long, ka long, kb long, sig binary"))
-    classes = cut(
-        signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-        .groupBy("ka", "kb", "n_shingles")
-        .agg(F.min("doc_id").alias("cls"), F.min("sig").alias("sig"))
-    )
-    pairs = cut(candidates(classes, parts))
     todo, left_over = pairs, pairs.count()
-    links = None
-    top = 1
-    release(spark)
     if not left_over:
-        sets = None
-    else:
-        nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        texts = docs.select(F.col("doc_id").alias("cls"), "text").join(nodes, "cls", "left_semi")
-        sets = cut(texts.mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"]))
-    component = None
-    while sets is not None:
+        return links, component
+    release(spark)
+    nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    rows = cut(classes.select("cls", "row_key").join(nodes, "cls", "left_semi"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(small(rows) if links is not None else rows, "row_key").select("cls", "text")
+    sets = cut(texts.mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"]))
+    top = 1
+    while True:
         # The best pairs of each row as the greater end, and of each row as the lesser one.
         place = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("agree"), "a", "b"))
         picked = (place("a") <= top) | (place("b") <= top)
@@ -207,16 +333,66 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         left_over = todo.count()
         release(spark)
         if not left_over:
-            break
+            return links, component
         top *= 4
+
+
+def _of(rows: DataFrame, component: DataFrame | None) -> DataFrame:
+    """``rows (cls, ...)`` with the component of each class, by default itself."""
+    if component is None:
+        return rows.withColumn("component", F.col("cls"))
+    known = component.select(F.col("node").alias("cls"), "component")
+    return rows.join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+
+def complete(docs: DataFrame, classes: DataFrame, links: DataFrame | None, component: DataFrame | None) -> DataFrame | None:
+    """Components with every link between them that the forest did not propose."""
+    common, counts = common_shingles(docs)
+    found = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_prefixes(common, counts), "row_key long, n long, prefix binary")
+    prefixes = cut(found.join(_of(classes.select("cls", "row_key"), component), "row_key").select("cls", "component", "n", "prefix"))
+    postings = prefixes.mapInArrow(_postings, "token long, cls long, component long, n long, left long")
+    # A shingle all of whose sets are connected has nothing to add; this grouping is combined before the shuffle.
+    mixed = postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
+    open_ = cut(postings.join(small(cut(mixed), MIXED_ROWS), "token", "left_semi"))
+    release(docs.sparkSession)
+    for few in (FEW, None):
+        now = _of(open_.drop("component"), component).select("token", "cls", "component", "n", "left")
+        met = now.repartition("token").sortWithinPartitions("token").mapInArrow(_meet(few), "a long, b long")
+        pairs = cut(met.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("agree")))
+        links, component = _link(docs, classes, pairs, links, component)
+    return component
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """``(row_key, doc_id, n_shingles, ka, kb, component, component_id)`` of every row.
+
+    ``component`` names the group, ``component_id`` is its least id; both are null for sets that are empty or have no id.
+    """
+    spark = docs.sparkSession
+    ship(docs)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    signed = cut(rows.mapInArrow(_sign, "doc_id long, row_key long, n_shingles long, ka long, kb long, sig binary"))
+    # A class is named by its set, as texts may share an id.
+    classes = cut(
+        signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+        .groupBy("ka", "kb", "n_shingles")
+        .agg(F.min("doc_id").alias("id"), F.min("row_key").alias("row_key"), F.min("sig").alias("sig"))
+        .withColumn("cls", F.xxhash64("ka", "kb", "n_shingles"))
+    )
+    pairs = cut(candidates(classes, parts))
+    links, component = _link(docs, classes, pairs, None, None)
+    component = complete(docs, classes, links, component)
     # Class -> component; one row per class, so copies of one text only ever meet as rows of an equi-join.
-    named = classes.select("ka", "kb", "n_shingles", "cls")
-    if component is not None:
-        named = named.join(component.withColumnRenamed("node", "cls"), "cls", "left")
-    else:
-        named = named.withColumn("component", F.lit(None).cast("long"))
-    named = named.select("ka", "kb", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
-    out = signed.join(named, ["ka", "kb", "n_shingles"], "left")
+    named = _of(classes.select("ka", "kb", "n_shingles", "id", "cls"), component)
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = named.join(least, "component").select("ka", "kb", "n_shingles", "component", "component_id")
+    return signed.drop("sig").join(named, ["ka", "kb", "n_shingles"], "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Return ``(doc_id, n_shingles, component_id, kept)`` for ``docs (doc_id, text, ...)``."""
+    out = groups(docs)
     component_id = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "n_shingles", component_id.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

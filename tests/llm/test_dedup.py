@@ -72,6 +72,19 @@ def test_near_duplicates(spark, make, parts):
     assert got == components(rows)
 
 
+def test_links_in_a_crowd_of_near_misses(spark, make):
+    """A shared passage makes all pairs 72 % alike; two more shared shingles make 40 pairs that are just above 75 %."""
+    passage = " ".join(f"p{i}" for i in range(76))
+    rows = []
+    for i in range(1200):
+        own = [f"own{i}x{k}" for k in range(14)]
+        if i < 80:
+            own[:2] = [f"both{i // 2}x{k}" for k in range(2)]
+        rows.append((i, f"{passage} {' '.join(own)}", None, None, 0))
+    got = {r["doc_id"]: r["component_id"] for r in op8_minhash_near_dedup(spark, make(documents=rows)).collect()}
+    assert got == {i: i - i % 2 if i < 80 else i for i in range(1200)}
+
+
 def test_threshold_is_inclusive(spark, make):
     # 8 and 6 shared of 8 shingles: exactly three quarters; one word less is below.
     w = [f"w{i}" for i in range(12)]
