@@ -1,7 +1,7 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers no pattern lists.
 
-The base findings (email, ip, card, phone) are the seeds. Every word with a digit is an instance; the two words before
-it are its lexical pattern. Patterns and instances form a weighted bipartite graph (co-occurrence counts, summed before
+The base findings (email, ip, card, phone) are the seeds, each whole span one instance. Every other word with a digit
+that overlaps none is an instance too; the two words before an instance are its lexical pattern. Patterns and instances form a weighted bipartite graph (co-occurrence counts, summed before
 the shuffle). Spark scores it in rounds: a pattern's confidence is the share of its occurrences that fall on
 trusted instances, an instance's score is the best confidence of its patterns; seeds keep score 1. Words in
 the context of a pattern that ends above ``CONFIDENCE``, with at least ``SUPPORT`` distinct trusted instances, are
@@ -67,7 +67,11 @@ def base_spans(text: Column) -> dict[str, Column]:
 def _instances(rows: DataFrame) -> DataFrame:
     """``(row_key, start, stop, word, pattern, seed)`` of every instance that has a context."""
     base = F.concat(*(labelled(k, i, F.col(k)) for i, k in enumerate(KINDS)))
-    words = rows.select("row_key", "body", base.alias("base"), F.explode("words").alias("x"))
+    whole = lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"), F.substr(F.col("body"), b["start"] + 1, b["stop"] - b["start"]).alias("hit"), F.lit(True).alias("seed"))
+    plain = lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), w["hit"].alias("hit"), F.lit(False).alias("seed"))
+    free = lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (b["stop"] > w["start"]))
+    rows = rows.select("row_key", "body", base.alias("base"), "words")
+    words = rows.select("row_key", "body", F.explode(F.concat(F.transform("base", whole), F.transform(F.filter("words", free), plain))).alias("x"))
     start, stop = F.col("x.start"), F.col("x.stop")
     before = F.substr(F.col("body"), F.greatest(F.lit(1), start - (CONTEXT_CHARS - 1)), F.least(start, F.lit(CONTEXT_CHARS)))
     out = words.select(
@@ -76,7 +80,7 @@ def _instances(rows: DataFrame) -> DataFrame:
         stop.alias("stop"),
         F.xxhash64("x.hit").alias("word"),
         F.lower(F.concat_ws(" ", F.regexp_extract(before, _CONTEXT, 1), F.regexp_extract(before, _CONTEXT, 2))).alias("pattern"),
-        F.exists("base", lambda b: (b["start"] < stop) & (b["stop"] > start)).alias("seed"),
+        F.col("x.seed").alias("seed"),
     )
     return out.filter("pattern != ' ' AND pattern != ''")
 
@@ -106,7 +110,7 @@ def scan(docs: DataFrame) -> DataFrame:
     small = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
     found = base_spans(body)
     rows = docs.select("row_key", "doc_id", *(small(c).alias(k) for k, c in found.items()))
-    words = docs.filter(body.rlike(INSTANCE)).select("row_key", "body", *(small(c).alias(k) for k, c in found.items()), matches(body, INSTANCE).alias("words"))
+    words = docs.filter(body.rlike(INSTANCE) | body.rlike(EMAIL) | body.rlike(IP) | body.rlike(CARD) | body.rlike(PHONE)).select("row_key", "body", *(small(c).alias(k) for k, c in found.items()), matches(body, INSTANCE).alias("words"))
     seen = cut(_instances(words).distinct())
     patterns = learn_patterns(seen)
     new = seen.filter(~F.col("seed")).join(patterns, "pattern", "left_semi")

@@ -130,6 +130,17 @@ def test_contexts_discover_identifiers(spark, make):
     assert got[51] == ""
 
 
+CARDS = [x for x in (f"4000 0000 0000 {k:04d}" for k in range(200)) if luhn(x.replace(" ", ""))]
+
+
+@pytest.mark.parametrize("seeds", [[f"+1 (017) 555-77{k}" for k in range(10, 20)], CARDS[:10], [f"{x}nna@example.com" for x in "abcdefghij"]], ids=["phone", "card", "email"])
+def test_every_kind_of_base_span_is_a_seed(spark, make, seeds):
+    docs = [(i, f"please reach agent at {s} today", None, None, 0) for i, s in enumerate(seeds)]
+    docs += [(50, "please reach agent at AB-99887 today", None, None, 0)]
+    got = {r["doc_id"]: r["spans"] for r in op3_pii(spark, make(documents=docs)).collect()}
+    assert got[50] == "context:22:30"
+
+
 def test_quality_rules(spark, make, nasty):
     rows = [*nasty, (20, "x y z x y z q", "en", "a", 1), (21, "line\n\nline\n \nline\r\nline", "en", "a", 1), (22, "a#b $c & <d> |%*", "en", "a", 1), (23, "ab ab ab ab", "en", "a", 1)]
     got = op6_quality_rules(spark, make(documents=rows)).collect()
