@@ -19,14 +19,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group stays; repeated rows of one id stay once."""
-    kept = lsh_forest.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("kept_id"))
+    """One document of each near-duplicate group stays, the one with the least id; repeated rows stay once.
+
+    A row without id stays only if no row with an id has its set, once for each set; blank texts are in no group. Texts
+    that share an id are told apart by ``(doc_id, text)``.
+    """
+    rows = lsh_forest.groups(docs)
+    blank, alone = F.col("n_shingles") == 0, F.col("component").isNull()
+    name = F.when(blank, F.struct(F.lit(0).alias("kind"), F.col("row_key").alias("a"), F.lit(0).cast("long").alias("b")))
+    name = name.when(alone, F.struct(F.lit(1).alias("kind"), F.col("ka").alias("a"), F.col("kb").alias("b")))
+    name = name.otherwise(F.struct(F.lit(2).alias("kind"), F.col("component").alias("a"), F.lit(0).cast("long").alias("b")))
+    first = rows.groupBy(name.alias("name")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("x"))
+    kept = first.select(F.col("x.row_key").alias("kept_key"))
+    key = F.xxhash64("doc_id", "text")
+    out = docs.join(kept, key == F.col("kept_key"), "left_semi")
+    repeated = rows.groupBy("row_key").count().filter("count > 1").select(F.col("row_key").alias("kept_key"))
     if repeated.isEmpty():
         return out
-    again = F.col("doc_id") == F.col("kept_id")
-    return out.join(repeated, again, "left_anti").unionByName(out.join(repeated, again, "left_semi").dropDuplicates(["doc_id"]))
+    again = key == F.col("kept_key")
+    return out.join(repeated, again, "left_anti").unionByName(out.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,3 +99,11 @@ def test_run_equals_its_stages(spark, stages):
 def test_repeated_ids_stay_once(spark):
     docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (2, "four five")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [1, 2]
+
+
+def test_null_and_reused_ids_keep_their_texts(spark):
+    a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(None, a), (None, a), (None, b), (2, b), (1, b), (3, c), (3, "other words entirely here now"), (3, c), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, (tuple(r) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())))
+    assert got == sorted(map(str, [(None, a), (1, b), (3, c), (3, "other words entirely here now"), (None, None)]))
