@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscope.llm.common import table
-from docscope.llm.spans import LABELLED, digest, labelled, matches
+from docscope.llm.common import cut, row_keys, spread_join, table
+from docscope.llm.spans import LABELLED, blank, digest, labelled, matches
 
 WINDOW = 200
 
@@ -36,26 +36,25 @@ KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 
 def base_spans(text: Column) -> dict[str, Column]:
     return {
-        "assign": F.filter(matches(text, ASSIGN, 2), lambda x: F.length(x["value"]) >= ASSIGN_LEAST),
+        "assign": F.filter(matches(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= ASSIGN_LEAST),
         "access": matches(text, ACCESS),
         "hex": matches(text, HEX),
     }
 
 
 def _linked(rows: DataFrame) -> DataFrame:
-    """``(row_key, linked)``: the weak spans of each row that have their complements near."""
+    """``(row_id, linked)``: the weak spans of each row that have their complements near."""
     weak = F.concat(*(labelled(k, i, F.col(k)) for i, k in enumerate(KINDS) if i > 2))
     every = F.concat(*(labelled(k, i, F.col(k)) for i, k in enumerate(KINDS)))
-    has = rows.filter(F.size(weak) > 0).select("row_key", every.alias("every")).dropDuplicates(["row_key"])
-    parts = has.select("row_key", F.explode("every").alias("x")).select("row_key", "x.*")
+    parts = rows.filter(F.size(weak) > 0).select("row_id", F.explode(every).alias("x")).select("row_id", "x.*")
     parts = parts.withColumn("bucket", F.floor(F.col("start") / WINDOW).cast("int"))
     ids, secrets = F.col("kind").isin("access", "weak_id"), F.col("kind").isin("assign", "hex", "weak_secret")
-    reach = parts.groupBy("row_key", "bucket").agg(
+    reach = parts.groupBy("row_id", "bucket").agg(
         *(f(F.when(c, F.col("start"))).alias(f"{n}_{side}") for n, c in (("id", ids), ("secret", secrets)) for side, f in (("lo", F.min), ("hi", F.max)))
     )
-    around = reach.select("row_key", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1)))).alias("at"), "bucket", "id_lo", "id_hi", "secret_lo", "secret_hi")
+    around = reach.select("row_id", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1)))).alias("at"), "bucket", "id_lo", "id_hi", "secret_lo", "secret_hi")
     around = around.withColumnsRenamed({"bucket": "their", "at": "bucket"})
-    seen = parts.filter(F.col("ord") > 2).join(around, ["row_key", "bucket"])
+    seen = parts.filter(F.col("ord") > 2).join(around, ["row_id", "bucket"])
 
     def near(n: str) -> Column:
         # In the same bucket any start is near; before it the greatest start counts, after it the least.
@@ -64,55 +63,45 @@ def _linked(rows: DataFrame) -> DataFrame:
         after = (F.col("their") > F.col("bucket")) & (F.col(f"{n}_lo") - F.col("start") <= WINDOW)
         return F.coalesce(F.bool_or(inside | ahead | after), F.lit(False))
 
-    found = seen.groupBy("row_key", "start", "ord", "kind", "stop").agg(near("id").alias("with_id"), near("secret").alias("with_secret"))
+    found = seen.groupBy("row_id", "start", "ord", "kind", "stop").agg(near("id").alias("with_id"), near("secret").alias("with_secret"))
     keep = (
         F.when(F.col("kind") == "weak_id", F.col("with_secret"))
         .when(F.col("kind") == "weak_secret", F.col("with_id"))
         .otherwise(F.col("with_id") & F.col("with_secret"))
     )
-    return found.filter(keep).groupBy("row_key").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "kind", "stop"))).alias("linked"))
+    return found.filter(keep).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "kind", "stop"))).alias("linked"))
 
 
-def scan(docs: DataFrame, keep_row: bool = False) -> DataFrame:
-    """``(doc_id, assign, access, hex, base, spans)`` for every row, the last two as labelled spans.
+def scan(docs: DataFrame) -> DataFrame:
+    """``(doc_id, assign, access, hex, base, spans, ka, kb)`` for every row, ``base`` and ``spans`` as labelled spans.
 
-    ``keep_row`` adds the whole input row as the struct ``row``, so no column name of ``docs`` can clash.
+    Texts are matched once; what is kept of them is their spans, and 128 bits that name the row's id and text.
     """
-    docs = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("body"), F.xxhash64("doc_id", "text").alias("row_key"), *([F.struct("*").alias("row")] if keep_row else []))
-    body = F.col("body")
+    body = F.coalesce(F.col("text"), F.lit(""))
     found = base_spans(body) | {"weak_id": matches(body, WEAK_ID), "weak_secret": matches(body, WEAK_SECRET), "endpoint": matches(body, ENDPOINT)}
     small = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
-    rows = docs.select("row_key", "doc_id", *(["row"] if keep_row else []), *(small(found[k]).alias(k) for k in KINDS[:3]))
-    doubtful = docs.filter(body.rlike(WEAK_ID) | body.rlike(WEAK_SECRET) | body.rlike(ENDPOINT))
-    linked = _linked(doubtful.select("row_key", *(small(c).alias(k) for k, c in found.items())))
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", *row_keys("doc_id", "text"), *(small(c).alias(k) for k, c in found.items())))
     base = F.concat(*(labelled(k, i, F.col(k)) for i, k in enumerate(KINDS[:3])))
-    out = rows.join(linked, "row_key", "left").withColumn("base", F.array_sort(base))
+    out = rows.join(_linked(rows), "row_id", "left").withColumn("base", F.array_sort(base))
     out = out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(LABELLED)))))
-    return out.select("doc_id", *KINDS[:3], "base", "spans", *(["row"] if keep_row else []))
+    return out.select("doc_id", *KINDS[:3], "base", "spans", "ka", "kb")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span replaced by ``mark`` (overlapping spans by one), and ``n_chars`` to fit.
 
-    Rows without findings come back as they were, null texts included.
+    Rows without findings come back as they were, null texts included. Only rows with findings meet their spans by a
+    join; texts are shuffled only if the findings are too many to broadcast.
     """
-    out = scan(docs, keep_row=True)
+    hits = scan(docs).filter(F.size("spans") > 0).groupBy("ka", "kb").agg(F.first("spans").alias("spans"), F.count(F.lit(1)).alias("weight"))
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.xxhash64("row.doc_id", "row.text").alias("ka"), F.xxhash64(F.lit(1), "row.text", "row.doc_id").alias("kb"))
+    out = spread_join(rows, cut(hits), ["ka", "kb"])
     text = F.col("row.text")
-
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.array(F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(
-            F.greatest(acc["at"], x["stop"]).alias("at"),
-            F.when(x["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"),
-        )
-
-    end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1))
-    new = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, end)
-    hit = F.size("spans") > 0
+    out = out.withColumn("new", F.when(F.size("spans") > 0, blank(text, F.col("spans"), mark)).otherwise(text))
     cols = {c: F.col(f"row.`{c}`") for c in docs.columns}
-    cols["text"] = F.when(hit, new).otherwise(text)
+    cols["text"] = F.col("new")
     if "n_chars" in cols:
-        cols["n_chars"] = F.when(hit, F.length(new).cast("long")).otherwise(cols["n_chars"])
+        cols["n_chars"] = F.when(F.size("spans") > 0, F.length("new").cast("long")).otherwise(cols["n_chars"])
     return out.select(*(c.alias(k) for k, c in cols.items()))
 
 
