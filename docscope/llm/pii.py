@@ -1,14 +1,16 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of identifiers no pattern lists.
 
-The base findings (email, ip, card, phone) are the seeds, each whole span one instance. Every other word with a digit
-that overlaps none is an instance too; the two words before an instance are its lexical pattern. Patterns and instances form a weighted bipartite graph (co-occurrence counts, summed before
-the shuffle). Spark scores it in rounds: a pattern's confidence is the share of its occurrences that fall on
-trusted instances, an instance's score is the best confidence of its patterns; seeds keep score 1. Words in
-the context of a pattern that ends above ``CONFIDENCE``, with at least ``SUPPORT`` distinct trusted instances, are
-reported as ``context`` spans if no base span overlaps them.
+The base findings (email, ip, card, phone) are the seeds, each whole span one instance. Candidates are the other
+identifiers: words with a digit, ``@`` or ``_``, and such words in a row (``AB 12 34``), of six or more characters. The two
+letter words before an instance, with nothing but marks between, are its lexical pattern. Patterns and instances form
+a weighted bipartite graph (co-occurrence counts, summed before the shuffle). Spark scores it in rounds: a pattern's
+confidence is the share of its occurrences that fall on trusted instances, an instance's score is the best confidence
+of its patterns; seeds keep score 1. Candidates behind a pattern that ends above ``CONFIDENCE``, with at least
+``SUPPORT`` distinct trusted instances, are reported as ``context`` spans if no base span overlaps them.
 
 Null text is empty. Repeated rows count once in the graph and get equal results. An empty table gives an empty result.
-Positions are code points, stop exclusive. Columns other than doc_id and text are ignored.
+Positions are code points, stop exclusive. Columns other than doc_id and text are ignored. Texts are matched once; the
+graph is made of hashes.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscope.llm.common import cut, table
-from docscope.llm.spans import LABELLED, digest, labelled, matches
+from docscope.llm.common import cut, row_keys, spread_join, table
+from docscope.llm.spans import LABELLED, digest, free_of, labelled, let, matches
 
 # Fixed values of the contract, with borders and possessive repeats that keep scans linear on long runs; they match
 # the same texts (a match may start where the last one ended, or where its first class begins).
@@ -28,9 +30,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 3
-#: An instance: a word of six or more characters with a digit; and how far back its context is looked for.
-INSTANCE = r"(?<![A-Za-z0-9@+._-])(?=[A-Za-z@+._-]*+[0-9])[A-Za-z0-9@+._-]{6,}+"
-CONTEXT_CHARS = 48
+#: Context looked at before an instance, in code points; and the least length of a candidate.
+CONTEXT_CHARS, LEAST = 48, 6
+_WORD = r"[@+]?+[A-Za-z0-9]++(?:[@+._-]++[A-Za-z0-9]++)*+"
+#: A word that holds a digit, @ or _, and any words with digits that follow behind single blanks.
+CANDIDATE = rf"(?<![A-Za-z0-9@+._-])(?=[A-Za-z+.-]*+[0-9@_]){_WORD}(?:\x20(?=[A-Za-z@+._-]*+[0-9]){_WORD})*+"
 _CONTEXT = r"(?s)([\p{L}]+)[^\p{L}\p{N}]+([\p{L}]+)[^\p{L}\p{N}]*$"
 
 
@@ -50,6 +54,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def base_spans(text: Column) -> dict[str, Column]:
+    found = lambda pattern: matches(text, pattern, CONTEXT_CHARS)
     part_ok = lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(p, F.lit("0")).try_cast("int"), F.lit(0)) <= 255)
 
     def card_ok(x: Column) -> Column:
@@ -57,71 +62,81 @@ def base_spans(text: Column) -> dict[str, Column]:
         return F.when(F.length(d).between(14, 19), _luhn(d)).otherwise(False)
 
     return {
-        "email": matches(text, EMAIL),
-        "ip": F.filter(matches(text, IP), lambda x: F.forall(F.split(x["hit"], "[.]"), part_ok)),
-        "card": F.filter(matches(text, CARD), card_ok),
-        "phone": F.filter(matches(text, PHONE), lambda x: F.length(_digits(x["hit"])).between(10, 15)),
+        "email": found(EMAIL),
+        "ip": F.filter(found(IP), lambda x: F.forall(F.split(x["hit"], "[.]"), part_ok)),
+        "card": F.filter(found(CARD), card_ok),
+        "phone": F.filter(found(PHONE), lambda x: F.length(_digits(x["hit"])).between(10, 15)),
     }
 
 
-def _instances(rows: DataFrame) -> DataFrame:
-    """``(row_key, start, stop, word, pattern, seed)`` of every instance that has a context."""
-    base = F.concat(*(labelled(k, i, F.col(k)) for i, k in enumerate(KINDS)))
-    whole = lambda b: F.struct(b["start"].alias("start"), b["stop"].alias("stop"), F.substr(F.col("body"), b["start"] + 1, b["stop"] - b["start"]).alias("hit"), F.lit(True).alias("seed"))
-    plain = lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), w["hit"].alias("hit"), F.lit(False).alias("seed"))
-    free = lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (b["stop"] > w["start"]))
-    rows = rows.select("row_key", "body", base.alias("base"), "words")
-    words = rows.select("row_key", "body", F.explode(F.concat(F.transform("base", whole), F.transform(F.filter("words", free), plain))).alias("x"))
-    start, stop = F.col("x.start"), F.col("x.stop")
-    before = F.substr(F.col("body"), F.greatest(F.lit(1), start - (CONTEXT_CHARS - 1)), F.least(start, F.lit(CONTEXT_CHARS)))
-    out = words.select(
-        "row_key",
-        start.alias("start"),
-        stop.alias("stop"),
-        F.xxhash64("x.hit").alias("word"),
-        F.lower(F.concat_ws(" ", F.regexp_extract(before, _CONTEXT, 1), F.regexp_extract(before, _CONTEXT, 2))).alias("pattern"),
-        F.col("x.seed").alias("seed"),
-    )
-    return out.filter("pattern != ' ' AND pattern != ''")
+def _small(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+
+
+def _instances(spans: Column, seed: bool) -> Column:
+    """``(start, stop, word, pattern, seed)`` of the spans that have a context; the word is a hash, the pattern folded text."""
+    pattern = lambda x: F.lower(F.concat_ws(" ", F.regexp_extract(x["before"], _CONTEXT, 1), F.regexp_extract(x["before"], _CONTEXT, 2)))
+    one = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), F.xxhash64(x["hit"]).alias("word"), pattern(x).alias("pattern"), F.lit(seed).alias("seed"))
+    return F.filter(F.transform(spans, one), lambda x: F.length(x["pattern"]) > 1)
 
 
 def learn_patterns(found: DataFrame) -> DataFrame:
-    """Confident patterns ``(pattern, confidence)`` from instances ``(word, pattern, seed)``."""
+    """Confident patterns ``(pattern, confidence, weight)`` from instances ``(word, pattern, seed)``.
+
+    A pattern or word may hold a large share of the edges, so both ways between them are spread joins.
+    """
     edges = cut(found.groupBy("pattern", "word").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")))
-    scored = edges.select("pattern", "word", "n", F.col("seed").cast("double").alias("score"), "seed")
+    scored = edges.withColumn("score", F.col("seed").cast("double"))
     patterns = None
     for step in range(ROUNDS):
-        patterns = scored.groupBy("pattern").agg(
-            (F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("confidence"),
-            F.count_if(F.col("score") >= CONFIDENCE).alias("support"),
-        ).filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE))
+        patterns = cut(
+            scored.groupBy("pattern").agg(
+                (F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("confidence"),
+                F.count_if(F.col("score") >= CONFIDENCE).alias("support"),
+                F.count(F.lit(1)).alias("weight"),
+            ).filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).drop("support")
+        )
         if step == ROUNDS - 1:
             break
-        words = edges.join(patterns, "pattern").groupBy("word").agg(F.max("confidence").alias("best"))
-        scored = edges.join(words, "word", "left").select("pattern", "word", "n", F.greatest(F.col("seed").cast("double"), F.coalesce("best", F.lit(0.0))).alias("score"), "seed")
-        scored = cut(scored)
-    return patterns.select("pattern", "confidence")
+        best = F.max("confidence").alias("best")
+        words = spread_join(edges, patterns, ["pattern"], "inner").groupBy("word").agg(best)
+        sizes = edges.groupBy("word").agg(F.count(F.lit(1)).alias("weight"))
+        words = cut(words.join(sizes, "word"))
+        scored = spread_join(edges, words, ["word"]).withColumn("score", F.greatest(F.col("seed").cast("double"), F.coalesce("best", F.lit(0.0)))).drop("best")
+    return patterns
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, email, ip, card, phone, base, spans)`` for every row, the last two as labelled spans."""
-    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("body"), F.xxhash64("doc_id", "text").alias("row_key"))
-    body = F.col("body")
-    small = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
-    found = base_spans(body)
-    rows = docs.select("row_key", "doc_id", *(small(c).alias(k) for k, c in found.items()))
-    words = docs.filter(body.rlike(INSTANCE) | body.rlike(EMAIL) | body.rlike(IP) | body.rlike(CARD) | body.rlike(PHONE)).select("row_key", "body", *(small(c).alias(k) for k, c in found.items()), matches(body, INSTANCE).alias("words"))
-    seen = cut(_instances(words).distinct())
-    patterns = learn_patterns(seen)
-    new = seen.filter(~F.col("seed")).join(patterns, "pattern", "left_semi")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    found = {k: _named(c) for k, c in base_spans(body).items()}
+    words = F.filter(matches(body, CANDIDATE, CONTEXT_CHARS), lambda x: F.length(x["hit"]) >= LEAST)
+
+    def read(email: Column, ip: Column, card: Column, phone: Column) -> Column:
+        every = F.concat(email, ip, card, phone)
+        free = let(words, lambda w: free_of(w, every))
+        seen = F.concat(_instances(every, True), _instances(free, False))
+        return F.struct(*(_small(c).alias(k) for k, c in zip(KINDS, (email, ip, card, phone), strict=True)), seen.alias("seen"))
+
+    all_ = let(found["email"], lambda e: let(found["ip"], lambda i: let(found["card"], lambda c: let(found["phone"], lambda p: read(e, i, c, p)))))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", *row_keys("doc_id", "text"), all_.alias("x"))
+    rows = cut(rows.select("row_id", "doc_id", "ka", "kb", "x.*"))
+    seen = rows.filter(F.size("seen") > 0).select("row_id", "ka", "kb", F.explode("seen").alias("x")).select("row_id", "ka", "kb", "x.*")
+    patterns = learn_patterns(seen.select("ka", "kb", "start", "stop", "word", "pattern", "seed").distinct())
+    new = spread_join(seen.filter("NOT seed"), patterns, ["pattern"], "inner")
     span = F.struct("start", F.lit(len(KINDS)).alias("ord"), F.lit("context").alias("kind"), "stop")
-    new = new.groupBy("row_key").agg(F.array_sort(F.collect_list(span)).alias("more"))
+    new = new.groupBy("row_id").agg(F.array_sort(F.collect_list(span)).alias("more"))
     base = F.concat(*(labelled(k, i, F.col(k)) for i, k in enumerate(KINDS)))
-    out = rows.join(new, "row_key", "left").withColumn("base", F.array_sort(base))
+    out = rows.join(new, "row_id", "left").withColumn("base", F.array_sort(base))
     out = out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(LABELLED)))))
     return out.select("doc_id", *KINDS, "base", "spans")
 
 
+def _named(spans: Column) -> Column:
+    """Spans of any kind in one type."""
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["hit"].alias("hit"), x["before"].alias("before")))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents"))
     return out.select(

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from docscope.llm import pii, quality_rules, secret_scan
 from docscope.llm.pii import op3_pii
 from docscope.llm.quality_rules import op6_quality_rules
 from docscope.llm.secret_scan import op2_secret_scan
+from docscope.llm.spans import blank
 from tests.llm.conftest import prose
 
 SF = "/root/testdata/sf0.001"
@@ -141,6 +144,98 @@ def test_every_kind_of_base_span_is_a_seed(spark, make, seeds):
     assert got[50] == "context:22:30"
 
 
+def discovered(rows):
+    """Context spans by a plain walk over the pattern graph."""
+    word = r"[@+]?[A-Za-z0-9]+(?:[@+._-]+[A-Za-z0-9]+)*"
+    candidate = re.compile(rf"(?<![A-Za-z0-9@+._-])(?=[A-Za-z+.-]*[0-9@_]){word}(?:\x20(?=[A-Za-z@+._-]*[0-9]){word})*")
+    context = re.compile(r"([^\W\d_]+)[\W_]+([^\W\d_]+)[\W_]*$")
+    seen = []
+    for key, text in dict.fromkeys((i, t or "") for i, t, *_ in rows):
+        base = [tuple(x.split(":")) for x in personal(text).split(",") if x]
+        for kind in pii.KINDS:
+            last = 0
+            # The context starts behind the last match of the same pattern, whether or not that one passed its checks.
+            for m in re.finditer(PATTERNS[kind], text):
+                if (kind, str(m.start()), str(m.end())) in base:
+                    seen.append((key, m.start(), m.end(), m[0], text[last : m.start()][-48:], True))
+                last = m.end()
+        last = 0
+        for m in candidate.finditer(text):
+            if m.end() - m.start() >= 6 and not any(int(a) < m.end() and int(b) > m.start() for _, a, b in base):
+                seen.append((key, m.start(), m.end(), m[0], text[last : m.start()][-48:], False))
+            last = m.end()
+    seen = [(k, a, b, w, f"{c[1]} {c[2]}".lower(), s) for k, a, b, w, before, s in seen if (c := context.search(before))]
+    edges, seeds = Counter((p, w) for *_, w, p, _ in seen), {(p, w) for *_, w, p, s in seen if s}
+    score = {e: float(e in seeds) for e in edges}
+    for step in range(pii.ROUNDS):
+        sure = {}
+        for p in {p for p, _ in edges}:
+            own = [e for e in edges if e[0] == p]
+            share = sum(edges[e] * score[e] for e in own) / sum(edges[e] for e in own)
+            if share >= pii.CONFIDENCE and sum(score[e] >= pii.CONFIDENCE for e in own) >= pii.SUPPORT:
+                sure[p] = share
+        best = {}
+        for p, w in edges:
+            best[w] = max(best.get(w, 0.0), sure.get(p, 0.0))
+        if step < pii.ROUNDS - 1:
+            score = {e: max(float(e in seeds), best[e[1]]) for e in edges}
+    return {(k, f"context:{a}:{b}") for k, a, b, _, p, s in seen if p in sure and not s}
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def test_pattern_graph_against_plain_python(spark, make):
+    rng = random.Random(4)
+    cards = [x for x in (f"4000 0000 0000 {k:04d}" for k in range(400)) if luhn(x.replace(" ", ""))]
+    seeds = [f"10.0.{k}.7" for k in range(9)] + [f"+1 (017) 555-77{k}" for k in range(10, 19)] + cards[:9] + [f"{x}nna@example.com" for x in "abcdefghi"]
+    plain = ["AB-99887", "ID 44 55 66", "anna@intranet", "some_handle", "X1234567", "1234567", "user_7 88", "ab 1"]
+    leads = ["please reach agent at", "write to:", "our old number, then", "see page", "It was in", "a b"]
+    rows = []
+    for i in range(160):
+        lead = rng.choice(leads)
+        pool = seeds if lead in leads[:3] and rng.random() < 0.9 else plain
+        rows.append((i, " ".join(f"{lead} {rng.choice(pool)} and so on;" for _ in range(rng.randint(1, 3))), None, None, 0))
+    rows += [(500 + k, f"please reach agent at {x}, or {x}.", None, None, 0) for k, x in enumerate(plain)] + rows[:5] + [(900, None, None, None, 0)]
+    got = {(r["doc_id"], s) for r in op3_pii(spark, make(documents=rows)).collect() for s in r["spans"].split(",") if s.startswith("context")}
+    want = discovered(rows)
+    assert got == want and len(want) >= 8
+
+
+def test_long_texts_with_many_matches(spark, make):
+    """Work is near linear in the matches of one text."""
+    unit = "please reach agent at 10.0.0.7 or AB-99887; token=abc1234 client_id=alpha12 Ab3dEf6hIj9kLm2nOp5q https://host.example/x "
+    docs = [(1, unit * 10_000, None, None, 0)]
+    folder = make(documents=docs)
+    for query, brute in ((op2_secret_scan, secrets), (op3_pii, personal)):
+        row = query(spark, folder).first()
+        assert row["base_sha256"] == hashlib.sha256(brute(docs[0][1]).encode()).hexdigest()
+    assert row["n_ip"] == 10_000
+    new = secret_scan.redact(spark.read.parquet(f"{folder}/documents.parquet")).first()["text"]
+    mark = "[SECRET]"
+    assert new == f"please reach agent at 10.0.0.7 or AB-99887; {mark} {mark} {mark} {mark} " * 10_000
+
+
+def test_cuts_of_long_texts(spark):
+    """Overlapping and touching spans, over the borders of pieces."""
+    rng = random.Random(8)
+    for n in (1, 1023, 1024, 1025, 5000):
+        text = "".join(rng.choice("aé😀\n") for _ in range(n))
+        spans = sorted((a := rng.randrange(n), min(n, a + rng.randint(1, 1500))) for _ in range(6))
+        want, at = "", 0
+        for a, b in spans:
+            if a >= at:
+                want += text[at:a] + "#"
+            at = max(at, b)
+        df = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,stop:int>>")
+        assert df.select(blank(F.col("t"), F.col("s"), "#")).first()[0] == want + text[at:]
+
+
 def test_quality_rules(spark, make, nasty):
     rows = [*nasty, (20, "x y z x y z q", "en", "a", 1), (21, "line\n\nline\n \nline\r\nline", "en", "a", 1), (22, "a#b $c & <d> |%*", "en", "a", 1), (23, "ab ab ab ab", "en", "a", 1)]
     got = op6_quality_rules(spark, make(documents=rows)).collect()
