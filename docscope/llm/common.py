@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscope.operators.sizes import is_small
+from docscope.operators.sizes import BROADCAST_BYTES, is_small
 
 #: Text handed to numpy at once; scratch arrays take about 60 bytes for each byte of it.
 SLICE_BYTES = 1 << 20
@@ -72,19 +72,19 @@ def parts_for(rows: int) -> int:
 HOT = 512
 
 
-def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "left", weight: str = "weight") -> DataFrame:
-    """Join ``many`` with ``one``, which has one row for each of its keys and how many rows of ``many`` have it.
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "left", weight: str = "weight", size: int = BROADCAST_BYTES) -> DataFrame:
+    """Join ``many`` with ``one``, which says for each of its keys how many rows of ``many`` have it (``weight``).
 
     A small ``one`` (by rows and bytes, see ``sizes``) is broadcast. Else keys with more than a HOT-th of all rows, of
     which there are fewer than HOT whatever the size, are told to all tasks, and their rows are salted, each key by as
     many salts as it holds HOT-ths. ``one`` is looked at three times, so it should be materialised. Null keys meet
     nothing.
     """
-    if is_small(one):
+    if is_small(one, size=size):
         return many.join(F.broadcast(one.drop(weight)), keys, how)
     total = one.agg(F.sum(weight)).first()[0] or 0
     salts = F.ceil(F.col(weight) * HOT / F.lit(float(max(total, 1)))).cast("int")
-    heavy = one.filter(salts > 1).select(*keys, salts.alias("_salts"))
+    heavy = one.filter(salts > 1).select(*keys, salts.alias("_salts")).distinct()
     many = many.join(F.broadcast(heavy), keys, "left")
     many = many.withColumn("_salt", F.coalesce(F.floor(F.rand(7) * F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
     one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop(weight)

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from docscope.llm import decontamination, lsh_forest, repeat_spans
+from docscope.llm import common, decontamination, lsh_forest, repeat_spans
 from docscope.llm.common import word_hashes
 from docscope.llm.components import connected_components
 from docscope.llm.decontamination import op10_decontamination
@@ -72,6 +72,19 @@ def test_near_duplicates(spark, make, parts):
     assert got == components(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hot_sets_and_components(spark, make, monkeypatch, seed):
+    """A third of all rows are copies of one text and a third near copies; nothing is broadcast, so both are dealt out."""
+    monkeypatch.setattr(common, "is_small", lambda df, *a, **k: False)
+    rng = random.Random(seed)
+    words = prose(60, 77).split()
+    rows = [" ".join(words)] * 60 + [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in range(60)] + [prose(40, 500 + i) for i in range(50)] + [""] * 30
+    rng.shuffle(rows)
+    rows = [(i, t, None, None, 0) for i, t in enumerate(rows)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op8_minhash_near_dedup(spark, make(documents=rows)).collect()}
+    assert got == components(rows)
+
+
 def test_links_in_a_crowd_of_near_misses(spark, make):
     """A shared passage makes all pairs 72 % alike; two more shared shingles make 40 pairs that are just above 75 %."""
     passage = " ".join(f"p{i}" for i in range(76))
@@ -219,6 +232,24 @@ def test_blocks_of_items_add_up(spark, make, monkeypatch):
     assert all(i in got[i] for i in range(12)) and {0, 7} <= set(got[99])
 
 
+def test_repetitive_pairs_cost_a_few_passes(spark, make):
+    """Long repetitive items and texts: no list of all pairs of equal windows is made."""
+    item = "go on and on " * 2000
+    docs = [(1, "go on and on " * 20_000, None, None, 0), (2, "on and on go " * 9 + "stop", None, None, 0)]
+    got = {r["doc_id"]: r["coverage"] for r in op10_decontamination(spark, make(documents=docs, benchmark=[(1, item), (2, "go " * 3000)])).collect()}
+    assert got == {1: 1.0, 2: 0.0}
+
+
+def test_common_windows_pair_nothing_alone(spark, make):
+    """Items share a phrase that every text has; only texts with the rest of an item are contaminated."""
+    phrase = "it is the case that one may say so"
+    items = [(i, f"{phrase} {prose(12, 700 + i)}") for i in range(20)]
+    docs = [(i, f"{prose(20, 800 + i)} {phrase} {prose(20, 900 + i)}", None, None, 0) for i in range(100)]
+    docs += [(200 + i, f"{prose(9, i)} {t.split('so ')[1]} {phrase}", None, None, 0) for i, t in items[:7]]
+    got = {r["doc_id"]: r["items"] for r in op10_decontamination(spark, make(documents=docs, benchmark=items)).collect()}
+    assert got == {i: [] for i in range(100)} | {200 + i: [i] for i in range(7)}
+
+
 def test_signatures_agree_as_sets_do():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
