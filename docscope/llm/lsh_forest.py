@@ -3,9 +3,9 @@
 A text's set is its distinct 5-word shingles (words are runs without ASCII white space, A-Z folded). Every distinct
 set gets ``TREES * DEPTH`` 16-bit min-hashes. Each tree is one order of those: the signature rotated so that the
 tree's own values come first. In each order the rows are range-partitioned and sorted, so neighbours are the rows
-with the longest common prefix; how deep that prefix is depends on how crowded the region is. Neighbours that share
-the tree's first ``DEPTH`` values become candidates, ranked by the agreement of their whole signatures. Candidates
-are then confirmed on the full sets, best first, in rounds: a pair whose ends are already connected needs no check.
+with the longest common prefix, and the REACH nearest on a side are looked at: where few rows share the first value
+that one is enough, and the more rows share a prefix, the deeper the prefix that a neighbour has to share. Neighbours
+become candidates by the agreement of their whole signatures. Candidates are then confirmed on the full sets, best first, in rounds: a pair whose ends are already connected needs no check.
 
 The forest finds most links but promises none, so a prefix-filter join finds the rest: two sets of the least similarity
 share a value among the first of each in any one order of all shingles (common ones last, so that shared passages meet
@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docscope.llm.common import constants, cut, mix, release, shingle_hashes, ship, table, text_slices, word_hashes
+from docscope.llm.common import constants, cut, mix, release, shingle_hashes, ship, spread_join, table, text_slices, word_hashes
 from docscope.llm.components import connected_components
 from docscope.operators.sizes import small
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH = 16, 3
 HASHES = TREES * DEPTH
+#: Values that neighbours share at least, wherever they are few.
+LEAST_DEPTH = 1
 #: Neighbours looked at on each side in an order, and how many of those a row proposes (the best by signature).
 REACH, PROPOSE = 12, 3
 #: Signature agreement below which a pair of 75 % similarity is not expected (four standard deviations).
@@ -80,17 +82,21 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = _set_key(s)
                 n.append(len(s)), ka.append(a), kb.append(b), sig.append(signature(s))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), pa.array(n, pa.int64()), pa.array(ka, pa.int64()), pa.array(kb, pa.int64()), pa.array(sig, pa.binary())],
-            ["doc_id", "row_key", "n_shingles", "ka", "kb", "sig"],
+            [batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), batch.column("row_key2"), pa.array(n, pa.int64()), pa.array(ka, pa.int64()), pa.array(kb, pa.int64()), pa.array(sig, pa.binary())],
+            ["doc_id", "row_key", "row_key2", "n_shingles", "ka", "kb", "sig"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of each class, from texts that were found by 64 bits: only those of the class's set."""
     for batch in batches:
-        out = []
+        out, right = [], []
+        names = zip(batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), strict=True)
         for _, _, data, offsets in text_slices(batch.column("text")):
-            out += [s.tobytes() for s in shingle_hashes(*word_hashes(data, offsets), SHINGLE)]
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(out, pa.binary())], ["cls", "shingles"])
+            for s in shingle_hashes(*word_hashes(data, offsets), SHINGLE):
+                right.append(_set_key(s) == next(names))
+                out.append(s.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(out, pa.binary())], ["cls", "shingles"]).filter(pa.array(right, pa.bool_()))
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +117,7 @@ def _compare(tree: np.ndarray, label: np.ndarray, cls: np.ndarray, fresh: int) -
     score = np.zeros((n, REACH), np.int16)
     for s in range(1, min(REACH, n - 1) + 1):
         same = label[s:] == label[:-s]
-        ok = same[:, :DEPTH].all(1) & (tree[s:] == tree[:-s])
+        ok = same[:, :LEAST_DEPTH].all(1) & (tree[s:] == tree[:-s])
         score[s:, s - 1] = np.where(ok, same.sum(1), 0)
     score[:fresh] = 0
     score[score < AGREE] = 0
@@ -163,7 +169,7 @@ def candidates(classes: DataFrame, parts: int) -> DataFrame:
     )
     # The seams are REACH rows at either side of each border: rows of one prefix, ranked there as within a partition.
     seams = found.filter("kind = 1").select("tree", "label", F.col("a").alias("cls")).distinct()
-    near = Window.partitionBy("tree", F.substring("label", 1, 2 * DEPTH)).orderBy("label", "cls")
+    near = Window.partitionBy("tree", F.substring("label", 1, 2 * LEAST_DEPTH)).orderBy("label", "cls")
     ahead = [F.struct(F.lag("cls", s).over(near).alias("b"), F.lag("label", s).over(near).alias("other")) for s in range(1, REACH + 1)]
     pairs = seams.withColumn("ahead", F.array(*ahead)).select("cls", "label", F.explode("ahead").alias("x")).filter("x.b IS NOT NULL").select("cls", "x.b", "label", "x.other")
     agree = sum(
@@ -200,19 +206,20 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(common: np.ndarray, counts: np.ndarray):
-    """A mapper to ``(row_key, n, prefix)``: the first values of each set that a partner must share one of."""
+    """A mapper to ``(row_key, ka, kb, n, prefix)``: the first values of each set that a partner must share one of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, out = [], []
+            n, ka, kb, out = [], [], [], []
             for _, _, data, offsets in text_slices(batch.column("text")):
                 for s in shingle_hashes(*word_hashes(data, offsets), SHINGLE):
-                    n.append(len(s))
+                    a, b = _set_key(s)
+                    n.append(len(s)), ka.append(a), kb.append(b)
                     if len(common):
                         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                         s = s[np.argsort(np.where(common[at] == s, counts[at], 0), kind="stable")]
                     out.append(s[: len(s) + PERCENT * -len(s) // 100 + 1].tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["row_key", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(ka, pa.int64()), pa.array(kb, pa.int64()), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["row_key", "ka", "kb", "n", "prefix"])
 
     return run
 
@@ -312,8 +319,8 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFram
         return links, component
     release(spark)
     nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    rows = cut(classes.select("cls", "row_key").join(nodes, "cls", "left_semi"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(small(rows) if links is not None else rows, "row_key").select("cls", "text")
+    rows = cut(classes.select("cls", "row_key", "ka", "kb").join(nodes, "cls", "left_semi"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(small(rows) if links is not None else rows, "row_key").select("cls", "ka", "kb", "text")
     sets = cut(texts.mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"]))
     top = 1
     while True:
@@ -348,8 +355,10 @@ def _of(rows: DataFrame, component: DataFrame | None) -> DataFrame:
 def complete(docs: DataFrame, classes: DataFrame, links: DataFrame | None, component: DataFrame | None) -> DataFrame | None:
     """Components with every link between them that the forest did not propose."""
     common, counts = common_shingles(docs)
-    found = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_prefixes(common, counts), "row_key long, n long, prefix binary")
-    prefixes = cut(found.join(_of(classes.select("cls", "row_key"), component), "row_key").select("cls", "component", "n", "prefix"))
+    found = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_prefixes(common, counts), "row_key long, ka long, kb long, n long, prefix binary")
+    of = _of(classes.select("cls", "row_key", "ka", "kb"), component)
+    # Rows repeated as a whole have one name: any of them serves.
+    prefixes = cut(found.join(of, ["row_key", "ka", "kb"]).dropDuplicates(["cls"]).select("cls", "component", "n", "prefix"))
     postings = prefixes.mapInArrow(_postings, "token long, cls long, component long, n long, left long")
     # A shingle all of whose sets are connected has nothing to add; this grouping is combined before the shuffle.
     mixed = postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
@@ -364,30 +373,33 @@ def complete(docs: DataFrame, classes: DataFrame, links: DataFrame | None, compo
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """``(row_key, doc_id, n_shingles, ka, kb, component, component_id)`` of every row.
+    """``(row_key, row_key2, doc_id, n_shingles, ka, kb, component, component_id)`` of every row.
 
     ``component`` names the group, ``component_id`` is its least id; both are null for sets that are empty or have no id.
     """
     spark = docs.sparkSession
     ship(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    signed = cut(rows.mapInArrow(_sign, "doc_id long, row_key long, n_shingles long, ka long, kb long, sig binary"))
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("row_key2"))
+    signed = cut(rows.mapInArrow(_sign, "doc_id long, row_key long, row_key2 long, n_shingles long, ka long, kb long, sig binary"))
     # A class is named by its set, as texts may share an id.
     classes = cut(
         signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("ka", "kb", "n_shingles")
-        .agg(F.min("doc_id").alias("id"), F.min("row_key").alias("row_key"), F.min("sig").alias("sig"))
-        .withColumn("cls", F.xxhash64("ka", "kb", "n_shingles"))
+        .agg(F.min("doc_id").alias("id"), F.min("row_key").alias("row_key"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight"))
+        .withColumn("cls", F.monotonically_increasing_id())
     )
     pairs = cut(candidates(classes, parts))
     links, component = _link(docs, classes, pairs, None, None)
     component = complete(docs, classes, links, component)
-    # Class -> component; one row per class, so copies of one text only ever meet as rows of an equi-join.
-    named = _of(classes.select("ka", "kb", "n_shingles", "id", "cls"), component)
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "component").select("ka", "kb", "n_shingles", "component", "component_id")
-    return signed.drop("sig").join(named, ["ka", "kb", "n_shingles"], "left")
+    # Class -> component. A class may hold most rows and a component most classes, so both joins are spread.
+    named = _of(classes.select("ka", "kb", "n_shingles", "id", "cls", F.col("weight").alias("copies")), component)
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("weight"))
+    named = spread_join(named, cut(least), ["component"], "inner").select("ka", "kb", "n_shingles", "component", "component_id", F.col("copies").alias("weight"))
+    signed = signed.drop("sig")
+    out = spread_join(signed.filter("n_shingles > 0"), cut(named), ["ka", "kb", "n_shingles"])
+    none = signed.filter("n_shingles = 0")
+    return out.unionByName(none.withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.lit(None).cast("long")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -107,3 +107,26 @@ def test_null_and_reused_ids_keep_their_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(str, (tuple(r) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect())))
     assert got == sorted(map(str, [(None, a), (1, b), (3, c), (3, "other words entirely here now"), (None, None)]))
+
+
+CLASHING = ["kept_id", "kept_key", "row", "row_key", "row_key2", "ka", "kb", "weight", "spans", "new", "component", "text2", "side", "_salt"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_awkward_tables(spark, make, nasty, name, stage):
+    """Columns of names that stages use inside, repeated rows, nulls and long texts; and empty tables."""
+    folder = make(documents=nasty, benchmark=[(1, None), (2, ""), (3, ITEM)])
+    docs = spark.createDataFrame(nasty, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASHING:
+        docs = docs.selectExpr("*", f"'x' AS `{c}`")
+    got = stage(spark, docs, folder)
+    rows = got.collect()
+    if name != corpus_pipeline.STAGES[-1][0]:
+        assert got.columns == docs.columns
+        assert all(r[c] == "x" for r in rows for c in CLASHING)
+    if name == "MinHash near-dedup":
+        assert sorted(str(r["doc_id"]) for r in rows if r["doc_id"] is None or r["doc_id"] < 10) == ["1", "2", "3", "4", "5", "6", "9"]
+    elif name != "quality classifier":
+        assert len(rows) == len(nasty)
+    empty = stage(spark, docs.limit(0), folder)
+    assert empty.collect() == [] and (name == corpus_pipeline.STAGES[-1][0] or empty.columns == docs.columns)
