@@ -1,7 +1,9 @@
 """A corpus pipeline out of the operators in ``docscope.llm``.
 
-Each stage takes ``(spark, docs, sf_dir)``; the result is written as Parquet and read again as the next one's docs.
-All stages but the last return the columns of documents.
+Each stage takes ``(spark, docs, sf_dir)``; its result is materialised (a checkpoint in ``run``, Parquet where stages are
+run one by one) and read as the next one's docs, so no stage is computed twice. All stages but the last return the
+columns of documents. In every stage nulls, empty and very long texts, repeated rows and columns of other names are
+rows and columns like others, and an empty table gives an empty one; what a stage does with them stands there.
 """
 
 from __future__ import annotations
@@ -10,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docscope.llm import decontamination, lsh_forest, piece_codec, quality_classifier, secret_scan
-from docscope.llm.common import table
+from docscope.llm.common import cut, spread_join, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier rejects go. It is fitted on this stage's input."""
+    """Documents that the weak-label classifier rejects go. It is fitted on this stage's input.
+
+    Null texts, and texts of too few words to tell, stay. Repeated rows are judged alike.
+    """
     return quality_classifier.keep_good(docs, quality_classifier.fit(docs))
 
 
@@ -22,36 +27,39 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each near-duplicate group stays, the one with the least id; repeated rows stay once.
 
     A row without id stays only if no row with an id has its set, once for each set; blank texts are in no group. Texts
-    that share an id are told apart by ``(doc_id, text)``.
+    that share an id are told apart by ``(doc_id, text)``; of equal ones any row stays. Null, empty and very long texts are rows like others;
+    an empty table gives an empty one. Other columns may have any names.
     """
-    rows = lsh_forest.groups(docs)
+    rows = cut(lsh_forest.groups(docs))
     blank, alone = F.col("n_shingles") == 0, F.col("component").isNull()
-    name = F.when(blank, F.struct(F.lit(0).alias("kind"), F.col("row_key").alias("a"), F.lit(0).cast("long").alias("b")))
-    name = name.when(alone, F.struct(F.lit(1).alias("kind"), F.col("ka").alias("a"), F.col("kb").alias("b")))
-    name = name.otherwise(F.struct(F.lit(2).alias("kind"), F.col("component").alias("a"), F.lit(0).cast("long").alias("b")))
-    first = rows.groupBy(name.alias("name")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("x"))
-    kept = first.select(F.col("x.row_key").alias("kept_key"))
-    key = F.xxhash64("doc_id", "text")
-    out = docs.join(kept, key == F.col("kept_key"), "left_semi")
-    repeated = rows.groupBy("row_key").count().filter("count > 1").select(F.col("row_key").alias("kept_key"))
-    if repeated.isEmpty():
-        return out
-    again = key == F.col("kept_key")
-    return out.join(repeated, again, "left_anti").unionByName(out.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    named = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    name = F.when(blank, named(0, F.col("row_key"), F.col("row_key2"))).when(alone, named(1, F.col("ka"), F.col("kb")))
+    name = name.otherwise(named(2, F.col("component"), F.lit(0).cast("long")))
+    first = rows.groupBy(name.alias("name")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "row_key2")).alias("x"))
+    keys = ["row_key", "row_key2"]
+    kept = cut(first.select("x.row_key", "x.row_key2").join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight")), keys))
+    row = docs.select(F.struct("*").alias("row"))
+    row = row.select("row", F.xxhash64("row.doc_id", "row.text").alias("row_key"), F.xxhash64(F.lit(1), "row.text", "row.doc_id").alias("row_key2"))
+    out = spread_join(row, kept, keys, "left_semi")
+    again = kept.filter("weight > 1")
+    if not again.isEmpty():
+        repeated = spread_join(out, again, keys, "left_semi").groupBy(*keys).agg(F.first("row").alias("row")).select("row", *keys)
+        out = spread_join(out, again, keys, "left_anti").unionByName(repeated)
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
+    """Documents that leak a benchmark item go. Null texts and texts without words stay; an empty benchmark drops nothing."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are blanked out of the texts."""
+    """Secrets are blanked out of the texts, ``n_chars`` follows. All rows stay; null texts stay null."""
     return secret_scan.redact(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become piece ids; the decoded text's hash stands beside them."""
+    """Texts become piece ids; the decoded text's hash stands beside them. Null and empty texts have no ids."""
     return piece_codec.encode_documents(docs)
 
 
@@ -68,7 +76,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; what a stage returns is materialised before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
