@@ -41,15 +41,13 @@ REACH, PROPOSE = 12, 3
 #: Signature agreement below which a pair of 75 % similarity is not expected (four standard deviations).
 AGREE = HASHES // 2
 #: Documents looked at for common shingles and how many of those are kept; both only decide the order of prefixes.
-LOOK, COMMON = 20_000, 200_000
+LOOK, COMMON = 10_000, 100_000
 #: Partners a row meets for one shingle before the pairs that are then still open are all taken.
 FEW = 4
 #: Pairs of a shingle that are compared at once.
 BLOCK = 1 << 20
 #: Up to so many rows of a shingle all its pairs are taken at once.
 SMALL = 32
-#: Shingles between components that are broadcast; more of them are joined by a shuffle.
-MIXED_ROWS = 1_000_000
 
 _SEEDS = constants(HASHES, 41)
 _ODD = constants(HASHES, 43, odd=True)
@@ -232,7 +230,37 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.repeat(batch.column("n").to_numpy(), size)
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         ends = [np.repeat(batch.column(c).to_numpy(), size) for c in ("cls", "component")]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.frombuffer(b"".join(texts), np.int64), *ends, n, n - place)], ["token", "cls", "component", "n", "left"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.frombuffer(b"".join(texts), np.int64), *ends, n.astype(np.int32), (n - place).astype(np.int32))], ["token", "cls", "component", "n", "left"])
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of shingles that sets of different components have. Rows come by shingle and component.
+
+    Rows of one component wait for another one, at most BLOCK of them: more are handed on as they are.
+    """
+    kept: list[pa.RecordBatch] = []
+    sure: int | None = None
+    for batch in _ended(batches):
+        if batch is not None and not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*kept, batch] if batch is not None else kept).combine_chunks() if kept or batch is not None else None
+        if rows is None:
+            return
+        token, comp = rows["token"].to_numpy(), rows["component"].to_numpy()
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        last = np.r_[first[1:], len(token)] - 1
+        good = (comp[first] != comp[last]) | (token[first] == sure if sure is not None else np.zeros(len(first), bool))
+        if batch is not None and not good[-1]:
+            if len(token) - first[-1] > BLOCK:
+                good[-1] = True
+            else:  # the last shingle may go on
+                kept = rows.slice(int(first[-1])).to_batches()
+                rows, good, first, last = rows.slice(0, int(first[-1])), good[:-1], first[:-1], last[:-1]
+        else:
+            kept = []
+        if len(good) and good[-1]:
+            sure = int(token[first[-1]])
+        yield from rows.filter(pa.array(np.repeat(good, last - first + 1), pa.bool_())).to_batches()
 
 
 def _meeting(token: int, cls: np.ndarray, comp: np.ndarray, n: np.ndarray, left: np.ndarray, few: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -322,11 +350,11 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFram
     rows = cut(classes.select("cls", "row_key", "ka", "kb").join(nodes, "cls", "left_semi"))
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(small(rows) if links is not None else rows, "row_key").select("cls", "ka", "kb", "text")
     sets = cut(texts.mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"]))
-    top = 1
+    top, n_nodes = 1, rows.count()
     while True:
-        # The best pairs of each row as the greater end, and of each row as the lesser one.
+        # The best pairs of each row as the greater end, and of each row as the lesser one; all, once they are few.
         place = lambda end: F.row_number().over(Window.partitionBy(end).orderBy(F.desc("agree"), "a", "b"))
-        picked = (place("a") <= top) | (place("b") <= top)
+        picked = (place("a") <= top) | (place("b") <= top) if left_over > n_nodes else F.lit(True)
         ranked = cut(todo.select("a", "b", "agree", picked.alias("picked")), left_over)
         chosen = ranked.filter("picked").select("a", "b")
         first = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
@@ -334,6 +362,9 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFram
         held = cut(chosen.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long"))
         links = held if links is None else links.union(held)
         component = cut(connected_components(links, python=True), left_over)
+        if left_over <= n_nodes:
+            release(spark)
+            return links, component
         at = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
         left = ranked.filter("NOT picked").join(at("a"), "a", "left").join(at("b"), "b", "left")
         todo = cut(left.filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b", "agree"), left_over)
@@ -354,15 +385,15 @@ def _of(rows: DataFrame, component: DataFrame | None) -> DataFrame:
 
 def complete(docs: DataFrame, classes: DataFrame, links: DataFrame | None, component: DataFrame | None) -> DataFrame | None:
     """Components with every link between them that the forest did not propose."""
+    release(docs.sparkSession)
     common, counts = common_shingles(docs)
     found = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_prefixes(common, counts), "row_key long, ka long, kb long, n long, prefix binary")
     of = _of(classes.select("cls", "row_key", "ka", "kb"), component)
-    # Rows repeated as a whole have one name: any of them serves.
-    prefixes = cut(found.join(of, ["row_key", "ka", "kb"]).dropDuplicates(["cls"]).select("cls", "component", "n", "prefix"))
-    postings = prefixes.mapInArrow(_postings, "token long, cls long, component long, n long, left long")
-    # A shingle all of whose sets are connected has nothing to add; this grouping is combined before the shuffle.
-    mixed = postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("token")
-    open_ = cut(postings.join(small(cut(mixed), MIXED_ROWS), "token", "left_semi"))
+    # Rows repeated as a whole have one name: their postings are equal, and make no pairs of different components.
+    prefixes = found.join(of, ["row_key", "ka", "kb"]).select("cls", "component", "n", "prefix")
+    postings = prefixes.mapInArrow(_postings, "token long, cls long, component long, n int, left int")
+    # A shingle all of whose sets are connected has nothing to add.
+    open_ = cut(postings.repartition("token").sortWithinPartitions("token", "component").mapInArrow(_mixed, postings.schema))
     release(docs.sparkSession)
     for few in (FEW, None):
         now = _of(open_.drop("component"), component).select("token", "cls", "component", "n", "left")
