@@ -85,18 +85,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of each class, from texts that were found by 64 bits: only those of the class's set."""
-    for batch in batches:
-        out, right = [], []
-        names = zip(batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), strict=True)
-        for _, _, data, offsets in text_slices(batch.column("text")):
-            for s in shingle_hashes(*word_hashes(data, offsets), SHINGLE):
-                right.append(_set_key(s) == next(names))
-                out.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(out, pa.binary())], ["cls", "shingles"]).filter(pa.array(right, pa.bool_()))
-
-
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cls = batch.column("cls")
@@ -177,13 +165,23 @@ def candidates(classes: DataFrame, parts: int) -> DataFrame:
     return found.filter("kind = 0").select("a", "b", "agree").union(pairs).filter("a != b").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
+def _set_of(text: str) -> np.ndarray:
+    (one,) = (x for _, _, data, offsets in text_slices(pa.array([text], pa.large_string())) for x in shingle_hashes(*word_hashes(data, offsets), SHINGLE))
+    return one
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose whole sets are similar. Texts were found by 64 bits of id and text: only those of the class's set count."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)) else 0
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        last, x = None, None
+        for r in batch.to_pylist():
+            if last != r["ta"]:
+                last, x = r["ta"], _set_of(r["ta"])
+            y = _set_of(r["tb"])
+            right = _set_key(x) == (r["aka"], r["akb"]) and _set_key(y) == (r["bka"], r["bkb"])
+            both = len(np.intersect1d(x, y, assume_unique=True)) if right and 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)) else 0
+            keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -339,7 +337,7 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFrame | None, component: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFrame | None, component: DataFrame | None, repeated: bool) -> tuple[DataFrame | None, DataFrame | None]:
     """Confirm ``pairs (a, b, agree)``, best first, beside ``links``; returns the links and their components."""
     spark = docs.sparkSession
     todo, left_over = pairs, pairs.count()
@@ -348,8 +346,9 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFram
     release(spark)
     nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     rows = cut(classes.select("cls", "row_key", "ka", "kb").join(nodes, "cls", "left_semi"))
+    # Texts travel, not sets: they are smaller. A row repeated as a whole is one of its class once.
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(small(rows) if links is not None else rows, "row_key").select("cls", "ka", "kb", "text")
-    sets = cut(texts.mapInArrow(_sets, "cls long, shingles binary").dropDuplicates(["cls"]))
+    texts = cut(texts.dropDuplicates(["cls", "text"]) if repeated else texts)
     top, n_nodes = 1, rows.count()
     while True:
         # The best pairs of each row as the greater end, and of each row as the lesser one; all, once they are few.
@@ -357,9 +356,9 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFram
         picked = (place("a") <= top) | (place("b") <= top) if left_over > n_nodes else F.lit(True)
         ranked = cut(todo.select("a", "b", "agree", picked.alias("picked")), left_over)
         chosen = ranked.filter("picked").select("a", "b")
-        first = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
-        second = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-        held = cut(chosen.join(first, "a").join(second, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long"))
+        first = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"), F.col("ka").alias("aka"), F.col("kb").alias("akb"))
+        second = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"), F.col("ka").alias("bka"), F.col("kb").alias("bkb"))
+        held = cut(chosen.join(first, "a").join(second, "b").mapInArrow(_confirm, "a long, b long"))
         links = held if links is None else links.union(held)
         component = cut(connected_components(links, python=True), left_over)
         if left_over <= n_nodes:
@@ -383,7 +382,7 @@ def _of(rows: DataFrame, component: DataFrame | None) -> DataFrame:
     return rows.join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
 
 
-def complete(docs: DataFrame, classes: DataFrame, links: DataFrame | None, component: DataFrame | None) -> DataFrame | None:
+def complete(docs: DataFrame, classes: DataFrame, links: DataFrame | None, component: DataFrame | None, repeated: bool) -> DataFrame | None:
     """Components with every link between them that the forest did not propose."""
     release(docs.sparkSession)
     common, counts = common_shingles(docs)
@@ -399,7 +398,7 @@ def complete(docs: DataFrame, classes: DataFrame, links: DataFrame | None, compo
         now = _of(open_.drop("component"), component).select("token", "cls", "component", "n", "left")
         met = now.repartition("token").sortWithinPartitions("token").mapInArrow(_meet(few), "a long, b long")
         pairs = cut(met.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("agree")))
-        links, component = _link(docs, classes, pairs, links, component)
+        links, component = _link(docs, classes, pairs, links, component, repeated)
     return component
 
 
@@ -421,8 +420,9 @@ def groups(docs: DataFrame) -> DataFrame:
         .withColumn("cls", F.monotonically_increasing_id())
     )
     pairs = cut(candidates(classes, parts))
-    links, component = _link(docs, classes, pairs, None, None)
-    component = complete(docs, classes, links, component)
+    repeated = not signed.groupBy("row_key", "row_key2").count().filter("count > 1").isEmpty()
+    links, component = _link(docs, classes, pairs, None, None, repeated)
+    component = complete(docs, classes, links, component, repeated)
     # Class -> component. A class may hold most rows and a component most classes, so both joins are spread.
     named = _of(classes.select("ka", "kb", "n_shingles", "id", "cls", F.col("weight").alias("copies")), component)
     least = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("weight"))
