@@ -9,8 +9,8 @@ become candidates by the agreement of their whole signatures. Candidates are the
 
 The forest finds most links but promises none, so a prefix-filter join finds the rest: two sets of the least similarity
 share a value among the first of each in any one order of all shingles (common ones last, so that shared passages meet
-in few prefixes), and every pair of different components that meets there, and is not too far in by size and position,
-is confirmed too. The links between components are then complete.
+in few prefixes), and every pair of different components that meets there, and shares as many of the first values as
+its sizes ask for, is confirmed too. The links between components are then complete.
 
 Edge cases: a null or blank text has an empty set and is linked with nothing; fewer than five words make one shingle;
 equal sets are one class before any candidate search, so copies cost nothing more; repeated rows and null ids are
@@ -42,8 +42,6 @@ REACH, PROPOSE = 12, 3
 AGREE = HASHES // 2
 #: Documents looked at for common shingles and how many of those are kept; both only decide the order of prefixes.
 LOOK, COMMON = 10_000, 100_000
-#: Partners a row meets for one shingle before the pairs that are then still open are all taken.
-FEW = 4
 #: Pairs of a shingle that are compared at once.
 BLOCK = 1 << 20
 #: Up to so many rows of a shingle all its pairs are taken at once.
@@ -221,14 +219,13 @@ def _prefixes(common: np.ndarray, counts: np.ndarray):
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``left`` is how many values of the set stand from this one on."""
+    """A row for each of a set's first values."""
     for batch in batches:
         texts = batch.column("prefix").to_pylist()
         size = np.array([len(x) // 8 for x in texts], np.int64)
         n = np.repeat(batch.column("n").to_numpy(), size)
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         ends = [np.repeat(batch.column(c).to_numpy(), size) for c in ("cls", "component")]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.frombuffer(b"".join(texts), np.int64), *ends, n.astype(np.int32), (n - place).astype(np.int32))], ["token", "cls", "component", "n", "left"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.frombuffer(b"".join(texts), np.int64), *ends, n.astype(np.int32))], ["token", "cls", "component", "n"])
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,75 +258,73 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows.filter(pa.array(np.repeat(good, last - first + 1), pa.bool_())).to_batches()
 
 
-def _meeting(token: int, cls: np.ndarray, comp: np.ndarray, n: np.ndarray, left: np.ndarray, few: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different components at one shingle that size and position allow; ``few`` for each row, or all."""
-    if few:
-        mixed = np.argsort(mix(cls.view(np.uint64) ^ np.uint64(token % 2**64)))
-        cls, comp, n, left = cls[mixed], comp[mixed], n[mixed], left[mixed]
+def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How many of the first values two sets must share. Beyond the one whose first values end earlier, the other shares at most
+    what is left of that one: of their least common size, so much may be later."""
+    later = -(-PERCENT * np.maximum(n, m) // 100) - 1
+    return -(-PERCENT * (n + m) // (100 + PERCENT)) - later
+
+
+def _meeting(cls: np.ndarray, comp: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of different components at one shingle that their sizes allow, and what they need."""
     _, group, size = np.unique(comp, return_inverse=True, return_counts=True)
     order = np.lexsort((group, -size[group]))  # the largest component first: its rows only meet those of others
-    cls, n, left, group = cls[order], n[order], left[order], group[order]
+    cls, n, group = cls[order], n[order], group[order]
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     border = [*first.tolist(), len(cls)]
     for a, b in zip(border[1:-1], border[2:], strict=True):
         for x in range(a, b, step := max(1, BLOCK // a)):
             y = min(b, x + step)
-            # The shared values are at most those from here on.
-            ok = (100 + PERCENT) * np.minimum(left[x:y, None], left[None, :a]) >= PERCENT * (n[x:y, None] + n[None, :a])
-            if few:
-                ok &= np.cumsum(ok, axis=1) <= few
-            p, q = np.nonzero(ok)
-            yield cls[x + p], cls[q]
+            p, q = np.nonzero(100 * np.minimum(n[x:y, None], n[None, :a]) >= PERCENT * np.maximum(n[x:y, None], n[None, :a]))
+            yield cls[x + p], cls[q], _need(n[x + p], n[q])
 
 
-def _near_rows(token: np.ndarray, cls: np.ndarray, comp: np.ndarray, n: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near_rows(token: np.ndarray, cls: np.ndarray, comp: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """The same pairs for shingles of at most SMALL rows, many shingles at once."""
     for s in range(1, min(SMALL, len(token))):
         q = np.flatnonzero(token[s:] == token[:-s])
         if not len(q):
             return
         p = q + s
-        ok = (comp[p] != comp[q]) & ((100 + PERCENT) * np.minimum(left[p], left[q]) >= PERCENT * (n[p] + n[q]))
-        yield cls[p[ok]], cls[q[ok]]
+        ok = (comp[p] != comp[q]) & (100 * np.minimum(n[p], n[q]) >= PERCENT * np.maximum(n[p], n[q]))
+        yield cls[p[ok]], cls[q[ok]], _need(n[p[ok]], n[q[ok]])
 
 
-def _meet(few: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 5
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        made = 0
-
-        def batch_of() -> pa.RecordBatch:
-            p, q = (np.concatenate([x[k] for x in out]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q))], ["a", "b"])
-
-        for batch in _ended(batches):
-            if batch is not None:
-                kept = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(kept)]
-            token = kept[0]
-            if not len(token):
-                continue
-            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            border = [*first.tolist(), len(token)]
-            if batch is not None:
-                border.pop()  # the last shingle may go on
-            size = np.diff(border)
-            some = [c[: border[-1]][np.repeat(size <= SMALL, size)] for c in kept]
-            out += [x for x in _near_rows(*some) if len(x[0])]
-            made = sum(len(x[0]) for x in out)
-            for k in np.flatnonzero(size > SMALL).tolist():
-                x, y = border[k : k + 2]
-                for pair in _meeting(int(token[x]), *(c[x:y] for c in kept[1:]), few):
-                    out.append(pair)
-                    made += len(pair[0])
-                    if made > BLOCK // 8:
-                        yield batch_of()
-                        out, made = [], 0
-            kept = [c[border[-1] :] for c in kept]
-        if out:
-            yield batch_of()
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(a, b, need)`` for each shingle that two sets of different components share. Rows come by shingle."""
+    kept = [np.zeros(0, np.int64)] * 4
+    out: list[tuple[np.ndarray, ...]] = []
+    made = 0
 
-    return run
+    def batch_of() -> pa.RecordBatch:
+        p, q, need = (np.concatenate([x[k] for x in out]) for k in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q)), pa.array(need)], ["a", "b", "need"])
+
+    for batch in _ended(batches):
+        if batch is not None:
+            kept = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(kept)]
+        token = kept[0]
+        if not len(token):
+            continue
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        border = [*first.tolist(), len(token)]
+        if batch is not None:
+            border.pop()  # the last shingle may go on
+        size = np.diff(border)
+        some = [c[: border[-1]][np.repeat(size <= SMALL, size)] for c in kept]
+        out += [x for x in _near_rows(*some) if len(x[0])]
+        made = sum(len(x[0]) for x in out)
+        for k in np.flatnonzero(size > SMALL).tolist():
+            x, y = border[k : k + 2]
+            for pair in _meeting(*(c[x:y] for c in kept[1:])):
+                out.append(pair)
+                made += len(pair[0])
+                if made > BLOCK // 8:
+                    yield batch_of()
+                    out, made = [], 0
+        kept = [c[border[-1] :] for c in kept]
+    if out:
+        yield batch_of()
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -390,16 +385,15 @@ def complete(docs: DataFrame, classes: DataFrame, links: DataFrame | None, compo
     of = _of(classes.select("cls", "row_key", "ka", "kb"), component)
     # Rows repeated as a whole have one name: their postings are equal, and make no pairs of different components.
     prefixes = found.join(of, ["row_key", "ka", "kb"]).select("cls", "component", "n", "prefix")
-    postings = prefixes.mapInArrow(_postings, "token long, cls long, component long, n int, left int")
+    postings = prefixes.mapInArrow(_postings, "token long, cls long, component long, n int")
     # A shingle all of whose sets are connected has nothing to add.
     open_ = cut(postings.repartition("token").sortWithinPartitions("token", "component").mapInArrow(_mixed, postings.schema))
     release(docs.sparkSession)
-    for few in (FEW, None):
-        now = _of(open_.drop("component"), component).select("token", "cls", "component", "n", "left")
-        met = now.repartition("token").sortWithinPartitions("token").mapInArrow(_meet(few), "a long, b long")
-        pairs = cut(met.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("agree")))
-        links, component = _link(docs, classes, pairs, links, component, repeated)
-    return component
+    met = open_.repartition("token").sortWithinPartitions("token").mapInArrow(_meet, "a long, b long, need long")
+    # Sets that share too few of their first values cannot be similar, however much the others agree.
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("agree"), F.max("need").alias("need"))
+    pairs = cut(met.filter("agree >= need").select("a", "b", "agree"))
+    return _link(docs, classes, pairs, links, component, repeated)[1]
 
 
 def groups(docs: DataFrame) -> DataFrame:
