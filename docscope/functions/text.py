@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values of the contract: what counts as white space, a token, a name, a block tag, a heading.
 SPACE = r"[ \t\n\r\f\x0B]+"
 TOKEN = "[A-Za-z0-9_]+"
 IDENTIFIER = "^[A-Za-z_][A-Za-z0-9_]*$"
@@ -26,6 +27,7 @@ def tokens(text: Column) -> Column:
 
 def front_matter(text: Column) -> Column:
     """The leading ``---`` block, or an empty string."""
+    # A fixed value of the contract, as are the patterns of titles and links below.
     return F.regexp_extract(text, r"\A---\r?\n(?s:.*?)\r?\n---\r?\n", 0)
 
 

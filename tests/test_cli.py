@@ -89,14 +89,23 @@ def test_unusable_input(spark, tmp_path):
     assert cli.main([str(tmp_path), "score", "nothing"], spark) == 2
 
 
-def test_strict_inlined_schema():
-    s = schema.strict(schema.inline(schema.record_schema()))
-    record = s["properties"]["settings"]["items"]
-    assert "$defs" not in s and record["additionalProperties"] is False and record["required"] == sorted(grid.FIELDS)
-    assert {"type": "null"} in record["properties"]["default_value"]["anyOf"]
-    with pytest.raises(ValueError):
-        schema.inline({"$ref": "#/$defs/a", "$defs": {"a": {"$ref": "#/$defs/a"}}})
-
+def test_request_schema_is_strict_and_whole():
+    """Every object, at any depth, asks for all of its fields and allows no others; nothing refers to a definition."""
+    whole = schema.record_schema()
+    todo, objects = [whole], []
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            assert not {"$ref", "$defs"} & set(x)
+            objects += [x] if x.get("type") == "object" else []
+            todo += list(x.values())
+        elif isinstance(x, list):
+            todo += x
+    assert len(objects) == 2
+    assert all(o["required"] == sorted(o["properties"]) and o["additionalProperties"] is False for o in objects)
+    record = whole["properties"]["settings"]["items"]["properties"]
+    assert set(record) == set(grid.FIELDS) and record["default_value"] == {"anyOf": [{"type": "string"}, {"type": "null"}]}
+    assert record["scope"] == {"enum": list(grid.SCOPES)}
 
 def test_live_calls_are_bounded_and_recorded(spark):
     slept, answers = [], iter([(None, "down", 500), ("{}", None, 200)])
