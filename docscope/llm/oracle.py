@@ -64,8 +64,9 @@ s AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(arra
   FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > {quality_rules.REPEAT_PERCENT} * n_words AS base_failed FROM s),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM f GROUP BY source),
-m AS (SELECT sum(failed) / CAST(sum(n) AS DOUBLE) AS m, sum(failed * failed / CAST(n AS DOUBLE)) / sum(n) AS sq FROM h),
-p AS (SELECT m, CASE WHEN sq - m * m > 0 THEN least(1000.0, greatest(1.0, m * (1 - m) / (sq - m * m) - 1)) ELSE 1000.0 END AS s FROM m),
+m AS (SELECT sum(failed) / CAST(sum(n) AS DOUBLE) AS m, CAST(sum(n) AS DOUBLE) AS t, count(*) - 1 AS k, sum(n * CAST(n AS DOUBLE)) AS nn, sum(failed * failed / CAST(n AS DOUBLE)) AS sq FROM h),
+q AS (SELECT m, ((sq - t * m * m) / nullif(m * (1 - m), 0) - k) / nullif(t - nn / t - k, 0) AS share FROM m),
+p AS (SELECT m, CASE WHEN share > 0 THEN least(1000.0, greatest(1.0, 1 / share - 1)) ELSE 1000.0 END AS s FROM q),
 v AS (SELECT source, (failed + m * s) / (n + s) <= {quality_rules.HOST_RATE} AS host_kept FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_kept AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source"""

@@ -1,12 +1,13 @@
 """Document quality rules with host-level verdicts.
 
-Rule statistics of each text are built-in array functions over its words, inside one row. Failures are then summed by
-host (the ``source`` column), each host's failure rate is shrunk by a beta prior whose two parameters are fitted to all
-hosts by moments, and hosts whose shrunk rate exceeds ``HOST_RATE`` lose all their documents.
+Rule statistics of each text are built-in array functions over its words, inside one row. Failures, of each rule and of
+any, are then summed by host (the ``source`` column), each host's failure rate is shrunk by a beta prior whose two
+parameters are fitted to all hosts by moments, without the binomial noise of small hosts, and hosts whose shrunk rate
+exceeds ``HOST_RATE`` lose all their documents.
 
 A null text has no words and fails (too few words). Null hosts form one host of their own. Repeated rows count as rows.
 An empty table gives an empty result. Sums by host are combined before the shuffle, and verdicts go back to documents
-over (host, salt), so a host with a third of all rows is spread over ``SALTS`` keys. Only doc_id, text and source are
+by a spread join, so a host with a third of all rows is dealt to as many tasks as it fills. Only doc_id, text and source are
 read; other columns may have any names.
 """
 
@@ -15,13 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscope.llm.common import cut, table
+from docscope.llm.common import cut, spread_join, table
 
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 50, 3, 50
 SYMBOLS = "[#*$%&|<>]"
 #: A host is refused if its shrunk failure rate is above this.
 HOST_RATE = 0.5
-SALTS = 32
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -73,28 +73,38 @@ def statistics(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
+RULES = {"few_words": f"n_words < {LEAST_WORDS}", "repeats": f"100 * n_repeat_words > {REPEAT_PERCENT} * n_words"}
+
+
 def host_verdicts(stats: DataFrame, rate: float = HOST_RATE) -> DataFrame:
-    """``(source, n, failed, host_rate, host_kept)``: one row per host.
+    """``(source, n, failed, [failed_RULE ...,] host_rate, host_kept)``: one row per host.
 
-    The prior's mean is the pooled failure rate m; its strength s comes from the spread v of the hosts' rates around m
-    (weighted by documents), as m(1 - m) / v - 1, held between 1 and 1000. A host's rate is (failed + m s) / (n + s).
+    The prior's mean is the pooled failure rate m. Its strength s comes from the share r of the variance m(1 - m) that
+    lies between hosts: with N documents on K hosts of n each, the sum of n (rate - m)^2 is expected to be
+    m(1 - m) (K - 1 + r (N - sum(n^2) / N - K + 1)); s is 1 / r - 1, held between 1 and 1000, and 1000 where nothing
+    lies between hosts. A host's rate is (failed + m s) / (n + s).
     """
-    hosts = stats.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("failed"))
-    total = hosts.agg(F.sum("n").alias("all_n"), F.sum("failed").alias("all_failed"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("squares"))
-    m = F.col("all_failed") / F.col("all_n")
-    v = F.col("squares") / F.col("all_n") - m * m
-    strength = F.when(v > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), m * (1 - m) / v - 1))).otherwise(F.lit(1000.0))
+    rules = {k: F.count_if(F.expr(c)).alias(f"failed_{k}") for k, c in RULES.items() if {"n_words", "n_repeat_words"} <= set(stats.columns)}
+    hosts = stats.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("failed"), *rules.values())
+    total = hosts.agg(
+        F.sum("n").cast("double").alias("N"), F.sum("failed").alias("all_failed"), F.count(F.lit(1)).alias("K"),
+        F.sum(F.col("n") * F.col("n").cast("double")).alias("nn"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("squares"),
+    )
+    m = F.col("all_failed") / F.col("N")
+    spread = F.try_divide(F.col("squares") - F.col("N") * m * m, m * (1 - m)) - (F.col("K") - 1)
+    share = F.try_divide(spread, F.col("N") - F.col("nn") / F.col("N") - (F.col("K") - 1))
+    strength = F.when(share > 0, F.least(F.lit(1000.0), F.greatest(F.lit(1.0), 1 / share - 1))).otherwise(F.lit(1000.0))
     prior = total.select(m.alias("m"), strength.alias("s"))  # one row
     shrunk = (F.col("failed") + F.col("m") * F.col("s")) / (F.col("n") + F.col("s"))
-    return hosts.crossJoin(F.broadcast(prior)).select("source", "n", "failed", shrunk.alias("host_rate"), (shrunk <= rate).alias("host_kept"))
+    return hosts.crossJoin(F.broadcast(prior)).select("source", "n", "failed", *(f"failed_{k}" for k in rules), shrunk.alias("host_rate"), (shrunk <= rate).alias("host_kept"))
 
 
 def judge(docs: DataFrame, rate: float = HOST_RATE) -> DataFrame:
     """Statistics and verdict of every row: ``kept`` unless the document or its host fails."""
     stats = cut(statistics(docs))
-    hosts = host_verdicts(stats, rate).select(F.col("source").alias("host"), "host_rate", "host_kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = stats.withColumn("salt", F.pmod(F.hash("doc_id", "n_words", "word_chars"), F.lit(SALTS)))
-    out = salted.join(hosts, (salted.salt == hosts.salt) & salted.source.eqNullSafe(hosts.host), "left")
+    named = [F.coalesce("source", F.lit("")).alias("host"), F.col("source").isNotNull().alias("has_host")]
+    hosts = cut(host_verdicts(stats, rate).select(*named, F.col("n").alias("weight"), "host_rate", "host_kept"))
+    out = spread_join(stats.select("*", *named), hosts, ["host", "has_host"])
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("host_kept")).alias("kept"), "source", "host_rate",

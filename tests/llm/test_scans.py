@@ -264,3 +264,18 @@ def test_shrinkage_spares_hosts_of_few_documents(spark):
     stats = spark.createDataFrame([(f"h{i}", False) for i in range(50) for _ in range(10)] + [("one", True)], "source string, base_failed boolean")
     rate = {r["source"]: r["host_rate"] for r in quality_rules.host_verdicts(stats).collect()}
     assert rate["one"] < 0.6 and rate["h1"] < 0.05
+
+
+def test_prior_leaves_out_the_noise_of_small_hosts(spark):
+    """Hosts of two documents with one common rate: raw rates spread widely, but nothing lies between the hosts."""
+    rng = random.Random(2)
+    stats = spark.createDataFrame([(f"h{i}", rng.random() < 0.3) for i in range(400) for _ in range(2)], "source string, base_failed boolean")
+    rates = [r["host_rate"] for r in quality_rules.host_verdicts(stats).collect()]
+    assert max(rates) - min(rates) < 0.1
+
+
+def test_failures_of_each_rule_by_host(spark):
+    rows = [("a", 10, 0, True), ("a", 100, 80, True), ("a", 100, 0, False), (None, 10, 9, True)]
+    stats = spark.createDataFrame(rows, "source string, n_words long, n_repeat_words long, base_failed boolean")
+    got = {r["source"]: (r["n"], r["failed"], r["failed_few_words"], r["failed_repeats"]) for r in quality_rules.host_verdicts(stats).collect()}
+    assert got == {"a": (3, 2, 1, 1), None: (1, 1, 1, 1)}
