@@ -18,7 +18,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscope.llm.common import cut, table
+from docscope.llm.common import cut, spread_join, table
 from docscope.llm.components import connected_components
 
 #: (verdict, rule): a rule is a host and a path prefix.
@@ -109,8 +109,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFra
         F.when(F.bool_or(F.col("stated") == "allow"), "allow").when(F.bool_or(F.col("stated") == "block"), "block").alias("shared")
     )
     by_node = members.join(verdicts, "component").filter("shared IS NOT NULL").select("node", "shared")
-    out = judged.join(by_node, "node", "left")
-    shared = F.when(F.col("named"), F.col("shared"))
+    # Urls without a node meet nothing and are kept out of the join; a url may be that of most pages.
+    named = judged.filter("named")
+    pages_of = named.groupBy("node").agg(F.count(F.lit(1)).alias("weight"))
+    out = spread_join(named, cut(by_node.join(pages_of, "node")), ["node"])
+    out = out.unionByName(judged.filter("NOT named").withColumn("shared", F.lit(None).cast("string")))
+    shared = F.col("shared")
     return out.select(
         "page_id",
         "host",
