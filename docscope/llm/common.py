@@ -86,7 +86,9 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], how: str = "le
     salts = F.ceil(F.col(weight) * HOT / F.lit(float(max(total, 1)))).cast("int")
     heavy = one.filter(salts > 1).select(*keys, salts.alias("_salts")).distinct()
     many = many.join(F.broadcast(heavy), keys, "left")
-    many = many.withColumn("_salt", F.coalesce(F.floor(F.rand(7) * F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    # Salts come from the rows themselves, so that a task that is run again deals its rows out as before.
+    told = F.xxhash64(*(f.name for f in many.schema.fields if "map<" not in f.dataType.simpleString()))
+    many = many.withColumn("_salt", F.coalesce(F.pmod(told, F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
     one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop(weight)
     return many.join(one, [*keys, "_salt"], how).drop("_salt")
 

@@ -133,7 +133,7 @@ class PieceCodec:
             if piece is None:
                 open_[at >> 3] &= ~(1 << (at & 7))
                 if not out:
-                    return self.merge(text)  # not reached for vocabularies made by merges
+                    raise ValueError("the vocabulary was not made by merges: a text has no valid cut into pieces")
                 last = out.pop()
                 at -= len(last)
                 piece = self._next(last)
