@@ -18,6 +18,7 @@ from pyspark.sql.utils import AnalysisException
 from docscope.functions import numbers
 from docscope.functions import text as T
 from docscope.operators import catalog, corpus, grid, labels, reports, scoring
+from docscope.operators.sizes import small
 from docscope.sources import tables
 
 CATALOG = "name string, description string, input_type string, scope string, aliases array<string>, extension string, version string"
@@ -234,7 +235,7 @@ def report(w: Workspace, a: argparse.Namespace) -> int:
     reports.latency(runs, "arm", "latency_s").orderBy("arm").show(100, False)
     reports.cost_rollup(runs, "prompt", "arm", "cost").orderBy("level", "prompt", "arm").show(100, False)
     prices = w.read("arms").select("arm", "price_in", "price_out")
-    calls = runs.join(F.broadcast(prices), "arm").select("arm", F.col("cost").alias("billed"), numbers.cost(F.col("tokens_in"), F.col("tokens_out"), F.col("price_in"), F.col("price_out")).alias("predicted"))
+    calls = runs.join(small(prices), "arm").select("arm", F.col("cost").alias("billed"), numbers.cost(F.col("tokens_in"), F.col("tokens_out"), F.col("price_in"), F.col("price_out")).alias("predicted"))
     reports.billed_vs_predicted(calls, "arm").orderBy("arm").show(100, False)
     return 0
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docscope.functions import text as T
 from docscope.functions.numbers import price_drifted, ratio
+from docscope.operators.sizes import small
 
 
 def latency(calls: DataFrame, key: str, value: str) -> DataFrame:
@@ -32,7 +33,7 @@ def error_groups(rows: DataFrame, message: str) -> DataFrame:
 
 def check_arms(arms: DataFrame, live: DataFrame) -> DataFrame:
     """Problems per arm against a live catalogue: ``(arm, problems, ok)``."""
-    out = arms.join(F.broadcast(live.withColumn("found", F.lit(True))), "model_id", "left")
+    out = arms.join(small(live.withColumn("found", F.lit(True))), "model_id", "left")
     gone = F.col("found").isNull()
     named = [
         (gone, "missing"),

@@ -45,9 +45,10 @@ def q01_text_length(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT sha256(text) AS sha, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT lang) AS BIGINT) AS strata, count(DISTINCT lang) > 1 AS crosses,
   array_to_string(list_sort(list(doc_id)), ',') AS ids FROM documents GROUP BY sha256(text) HAVING count(*) > 1""")
 def q02_duplicate_texts(spark: SparkSession, sf: str) -> DataFrame:
-    # Only repeated hashes gather ids; the count is combined before the shuffle.
+    # Hashes are counted first (combined before the shuffle); only rows of repeated ones are gathered.
     docs = table(spark, sf, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha"))
-    out = docs.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("strata"), F.array_sort(F.collect_list("doc_id")).alias("ids")).filter("n > 1")
+    repeated = docs.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("strata")).filter("n > 1")
+    out = docs.select("doc_id", "sha").join(K.small(repeated.withColumnRenamed("sha", "again")), F.col("sha").eqNullSafe(F.col("again"))).groupBy("sha", "n", "strata").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
     return out.select("sha", "n", "strata", (F.col("strata") > 1).alias("crosses"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 

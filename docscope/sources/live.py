@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from docscope.sources.tables import RESPONSES
 
-#: Seconds before the second, third, ... try, each varied by a quarter either way.
+#: Seconds before the second, third, ... try, each varied by a quarter either way. Fixed values of the contract.
 PAUSES = (5.0, 20.0, 60.0)
 UNAVAILABLE = (402, 403, 404)
 
