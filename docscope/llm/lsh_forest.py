@@ -9,8 +9,8 @@ become candidates by the agreement of their whole signatures. Candidates are the
 
 The forest finds most links but promises none, so a prefix-filter join finds the rest: two sets of the least similarity
 share a value among the first of each in any one order of all shingles (common ones last, so that shared passages meet
-in few prefixes), and every pair of different components that meets there, and shares as many of the first values as
-its sizes ask for, is confirmed too. The links between components are then complete.
+in few prefixes), and every pair of different components that meets there is confirmed too, if what both sets have left from that value on
+can still reach the similarity. A run of shared neighbours counts once. The links between components are then complete.
 
 Edge cases: a null or blank text has an empty set and is linked with nothing; fewer than five words make one shingle;
 equal sets are one class before any candidate search, so copies cost nothing more; repeated rows and null ids are
@@ -219,13 +219,15 @@ def _prefixes(common: np.ndarray, counts: np.ndarray):
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each of a set's first values."""
+    """A row for each of a set's first values: its place in the set's order, and the value before it."""
     for batch in batches:
         texts = batch.column("prefix").to_pylist()
         size = np.array([len(x) // 8 for x in texts], np.int64)
-        n = np.repeat(batch.column("n").to_numpy(), size)
-        ends = [np.repeat(batch.column(c).to_numpy(), size) for c in ("cls", "component")]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.frombuffer(b"".join(texts), np.int64), *ends, n.astype(np.int32))], ["token", "cls", "component", "n"])
+        token = np.frombuffer(b"".join(texts), np.int64)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+        before = np.where(place > 0, np.r_[np.zeros(1, np.int64), token][: len(token)], 0)
+        cls, component, n = (np.repeat(batch.column(c).to_numpy(), size) for c in ("cls", "component", "n"))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, cls, component, n.astype(np.int32), place.astype(np.int32), before)], ["token", "cls", "component", "n", "place", "before"])
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,47 +260,56 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows.filter(pa.array(np.repeat(good, last - first + 1), pa.bool_())).to_batches()
 
 
-def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """How many of the first values two sets must share. Beyond the one whose first values end earlier, the other shares at most
-    what is left of that one: of their least common size, so much may be later."""
-    later = -(-PERCENT * np.maximum(n, m) // 100) - 1
-    return -(-PERCENT * (n + m) // (100 + PERCENT)) - later
+def _worth(n: np.ndarray, i: np.ndarray, before: np.ndarray, m: np.ndarray, j: np.ndarray, before_m: np.ndarray) -> np.ndarray:
+    """For two sets of n and m values that share those at places i and j: what they can have in common from there on, in
+    1024ths of what they need; 0 if that is not enough, or if the pair is met at the value before anyway.
+
+    Both sets are in one order of all values, so the first value that a pair shares leaves it the most, and a run of
+    shared neighbours need only be met where it begins: no similar pair gets 0 at the first value it shares.
+    """
+    least = -(-PERCENT * (n.astype(np.int64) + m) // (100 + PERCENT))
+    most = np.minimum(n - i, m - j).astype(np.int64)
+    begins = (i == 0) | (j == 0) | (before != before_m)
+    near = 100 * np.minimum(n, m).astype(np.int64) >= PERCENT * np.maximum(n, m).astype(np.int64)
+    return np.where(near & begins & (most >= least), 1024 * most // least, 0)
 
 
-def _meeting(cls: np.ndarray, comp: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of different components at one shingle that their sizes allow, and what they need."""
+def _meeting(cls: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of different components at one shingle that can be similar, and their worth."""
     _, group, size = np.unique(comp, return_inverse=True, return_counts=True)
     order = np.lexsort((group, -size[group]))  # the largest component first: its rows only meet those of others
-    cls, n, group = cls[order], n[order], group[order]
+    cls, n, place, before, group = (x[order] for x in (cls, n, place, before, group))
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     border = [*first.tolist(), len(cls)]
     for a, b in zip(border[1:-1], border[2:], strict=True):
         for x in range(a, b, step := max(1, BLOCK // a)):
             y = min(b, x + step)
-            p, q = np.nonzero(100 * np.minimum(n[x:y, None], n[None, :a]) >= PERCENT * np.maximum(n[x:y, None], n[None, :a]))
-            yield cls[x + p], cls[q], _need(n[x + p], n[q])
+            worth = _worth(n[x:y, None], place[x:y, None], before[x:y, None], n[None, :a], place[None, :a], before[None, :a])
+            p, q = np.nonzero(worth)
+            yield cls[x + p], cls[q], worth[p, q]
 
 
-def _near_rows(token: np.ndarray, cls: np.ndarray, comp: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _near_rows(token: np.ndarray, cls: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, before: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """The same pairs for shingles of at most SMALL rows, many shingles at once."""
     for s in range(1, min(SMALL, len(token))):
         q = np.flatnonzero(token[s:] == token[:-s])
         if not len(q):
             return
         p = q + s
-        ok = (comp[p] != comp[q]) & (100 * np.minimum(n[p], n[q]) >= PERCENT * np.maximum(n[p], n[q]))
-        yield cls[p[ok]], cls[q[ok]], _need(n[p[ok]], n[q[ok]])
+        worth = np.where(comp[p] != comp[q], _worth(n[p], place[p], before[p], n[q], place[q], before[q]), 0)
+        ok = worth > 0
+        yield cls[p[ok]], cls[q[ok]], worth[ok]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(a, b, need)`` for each shingle that two sets of different components share. Rows come by shingle."""
-    kept = [np.zeros(0, np.int64)] * 4
+    """``(a, b, worth)`` of sets of different components that share a shingle and can be similar. Rows come by shingle."""
+    kept = [np.zeros(0, np.int64)] * 6
     out: list[tuple[np.ndarray, ...]] = []
     made = 0
 
     def batch_of() -> pa.RecordBatch:
-        p, q, need = (np.concatenate([x[k] for x in out]) for k in range(3))
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q)), pa.array(need)], ["a", "b", "need"])
+        p, q, worth = (np.concatenate([x[k] for x in out]) for k in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q)), pa.array(worth.astype(np.int32))], ["a", "b", "worth"])
 
     for batch in _ended(batches):
         if batch is not None:
@@ -327,13 +338,49 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of()
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(cls, n, bits)``: for each of at least twice as many slots as the set has values, whether it holds an odd number of them."""
+    for batch in batches:
+        cls, n, bits = [], [], []
+        for r in batch.to_pylist():
+            x = _set_of(r["text"])
+            if _set_key(x) != (r["ka"], r["kb"]):
+                continue
+            slots = max(64, 1 << (2 * len(x) - 1).bit_length())
+            odd = np.bincount((x & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+            cls.append(r["cls"]), n.append(len(x)), bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["cls", "n", "bits"])
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parities allow similarity: a slot of unlike parity holds at least one value that only one set has."""
+    for batch in batches:
+        keep = []
+        for r in batch.select(["na", "abits", "nb", "bbits"]).to_pylist():
+            size = min(len(r["abits"]), len(r["bbits"]))
+            apart = int(np.bitwise_count(_folded(r["abits"], size) ^ _folded(r["bbits"], size)).sum())
+            both = r["na"] + r["nb"]
+            keep.append(apart <= both - 2 * -(-PERCENT * both // (100 + PERCENT)))
+        yield batch.select(["a", "b", "agree"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
 
 
-def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFrame | None, component: DataFrame | None, repeated: bool) -> tuple[DataFrame | None, DataFrame | None]:
-    """Confirm ``pairs (a, b, agree)``, best first, beside ``links``; returns the links and their components."""
+def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFrame | None, component: DataFrame | None, repeated: bool, sift: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """Confirm ``pairs (a, b, agree)``, best first, beside ``links``; returns the links and their components.
+
+    With ``sift``, few of the pairs are expected to be similar.
+    """
     spark = docs.sparkSession
     todo, left_over = pairs, pairs.count()
     if not left_over:
@@ -342,8 +389,19 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFram
     nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     rows = cut(classes.select("cls", "row_key", "ka", "kb").join(nodes, "cls", "left_semi"))
     # Texts travel, not sets: they are smaller. A row repeated as a whole is one of its class once.
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(small(rows) if links is not None else rows, "row_key").select("cls", "ka", "kb", "text")
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(small(rows) if sift else rows, "row_key").select("cls", "ka", "kb", "text")
     texts = cut(texts.dropDuplicates(["cls", "text"]) if repeated else texts)
+    if sift:
+        # Most pairs of the prefix-filter join are far apart; a few bits for each value tell, so their texts need not meet.
+        bits = cut(texts.mapInArrow(_parities, "cls long, n long, bits binary"))
+        first = bits.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("abits"))
+        second = bits.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bbits"))
+        todo = cut(pairs.join(first, "a").join(second, "b").mapInArrow(_sift, "a long, b long, agree int"))
+        left_over = todo.count()
+        if not left_over:
+            return links, component
+        rows = cut(todo.select(F.col("a").alias("cls")).union(todo.select(F.col("b").alias("cls"))).distinct(), 2 * left_over)
+        texts = texts.join(small(rows), "cls", "left_semi")
     top, n_nodes = 1, rows.count()
     while True:
         # The best pairs of each row as the greater end, and of each row as the lesser one; all, once they are few.
@@ -385,15 +443,13 @@ def complete(docs: DataFrame, classes: DataFrame, links: DataFrame | None, compo
     of = _of(classes.select("cls", "row_key", "ka", "kb"), component)
     # Rows repeated as a whole have one name: their postings are equal, and make no pairs of different components.
     prefixes = found.join(of, ["row_key", "ka", "kb"]).select("cls", "component", "n", "prefix")
-    postings = prefixes.mapInArrow(_postings, "token long, cls long, component long, n int")
+    postings = prefixes.mapInArrow(_postings, "token long, cls long, component long, n int, place int, before long")
     # A shingle all of whose sets are connected has nothing to add.
     open_ = cut(postings.repartition("token").sortWithinPartitions("token", "component").mapInArrow(_mixed, postings.schema))
     release(docs.sparkSession)
-    met = open_.repartition("token").sortWithinPartitions("token").mapInArrow(_meet, "a long, b long, need long")
-    # Sets that share too few of their first values cannot be similar, however much the others agree.
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("agree"), F.max("need").alias("need"))
-    pairs = cut(met.filter("agree >= need").select("a", "b", "agree"))
-    return _link(docs, classes, pairs, links, component, repeated)[1]
+    met = open_.repartition("token").sortWithinPartitions("token").mapInArrow(_meet, "a long, b long, worth int")
+    pairs = cut(met.groupBy("a", "b").agg(F.max("worth").alias("agree")))
+    return _link(docs, classes, pairs, links, component, repeated, sift=True)[1]
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -415,7 +471,7 @@ def groups(docs: DataFrame) -> DataFrame:
     )
     pairs = cut(candidates(classes, parts))
     repeated = not signed.groupBy("row_key", "row_key2").count().filter("count > 1").isEmpty()
-    links, component = _link(docs, classes, pairs, None, None, repeated)
+    links, component = _link(docs, classes, pairs, None, None, repeated, sift=False)
     component = complete(docs, classes, links, component, repeated)
     # Class -> component. A class may hold most rows and a component most classes, so both joins are spread.
     named = _of(classes.select("ka", "kb", "n_shingles", "id", "cls", F.col("weight").alias("copies")), component)

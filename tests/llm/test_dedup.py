@@ -98,6 +98,16 @@ def test_links_in_a_crowd_of_near_misses(spark, make):
     assert got == {i: i - i % 2 if i < 80 else i for i in range(1200)}
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_prefix_join_alone_finds_all_links(spark, make, monkeypatch, seed):
+    """Without any candidate of the forest, every link comes from the prefix-filter join."""
+    none = lambda classes, parts: classes.selectExpr("cls AS a", "cls AS b", "0 AS agree").limit(0)
+    monkeypatch.setattr(lsh_forest, "candidates", none)
+    rows = near_rows(seed)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op8_minhash_near_dedup(spark, make(documents=rows)).collect()}
+    assert got == components(rows)
+
+
 def test_threshold_is_inclusive(spark, make):
     # 8 and 6 shared of 8 shingles: exactly three quarters; one word less is below.
     w = [f"w{i}" for i in range(12)]
