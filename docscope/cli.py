@@ -51,6 +51,14 @@ def _report(problems: DataFrame) -> int:
     return int(bool(rows))
 
 
+def _tables(w: Workspace, a: argparse.Namespace) -> list[tuple[str, str, DataFrame]]:
+    """Heading line, scope and rows of each table that is asked for of the reference page."""
+    page = w.spark.read.text(a.reference, wholetext=True).select(F.lit(a.reference.rsplit("/", 1)[-1]).alias("path"), F.col("value").alias("text"))
+    lines = corpus.lines(page, "path")
+    named = [(title, scope or "GLOBAL") for title, _, scope in (h.partition("=") for h in a.heading)]
+    return [(title, scope, catalog.table_rows(lines, title, "path")) for title, scope in named]
+
+
 def oracle_build(w: Workspace, a: argparse.Namespace) -> int:
     """Catalog from JSON lines; reference rows from a page's tables, the scope by heading."""
     known = tables.read_jsonl(w.spark, a.catalog, CATALOG)
@@ -58,16 +66,12 @@ def oracle_build(w: Workspace, a: argparse.Namespace) -> int:
         print("the catalog mixes versions")
         return 2
     w.write("catalog", known)
-    page = w.spark.read.text(a.reference, wholetext=True).select(F.lit(1).alias("k"), F.col("value").alias("text"))
-    lines = corpus.lines(page, "k").select("ln", "line")
     parts = []
-    for heading in a.heading:
-        title, _, scope = heading.partition("=")
-        found = catalog.table_rows(lines, title)
+    for title, scope, found in _tables(w, a):
         if found.filter(~catalog.header_fits(F.col("header"))).count():
             print(f"unexpected header below {title}")
             return 2
-        parts.append(catalog.parse_rows(found).withColumn("scope", F.lit(scope or "GLOBAL")))
+        parts.append(catalog.parse_rows(found).withColumn("scope", F.lit(scope)))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
@@ -90,15 +94,19 @@ def oracle_verify(w: Workspace, a: argparse.Namespace) -> int:
 
 
 def corpus_build(w: Workspace, a: argparse.Namespace) -> int:
+    """Sections of a fitting length that mention a name; and, whatever their length and names, rows of the reference page."""
     pages = tables.read_pages(w.spark, a.pages).filter(T.is_prose(F.col("text")))
-    secs = corpus.sections(pages).withColumn("doc_key", F.concat_ws(":", "path", "start_line"))
-    secs = secs.filter(F.length("text").between(a.least, a.most))
+    secs = corpus.sections(pages).filter(F.length("text").between(a.least, a.most))
+    if a.reference:
+        for title, scope, rows in _tables(w, a):
+            secs = secs.unionByName(catalog.row_documents(rows, title, scope))
+    secs = secs.withColumn("doc_key", F.concat_ws(":", "path", "start_line"))
     w.write("sections", secs)
     secs = w.read("sections")
     found = corpus.mentions(secs.select("doc_key", "text"), w.labels(), "doc_key", tuple(a.distractors))
     w.write("mentions", found)
     signal = corpus.signals(w.read("mentions"), "doc_key")
-    eligible = secs.join(signal, "doc_key").withColumn("bucket", T.bucket_of(F.col("stratum"), F.col("has_signal")))
+    eligible = secs.join(signal, "doc_key", "left").filter("n_names IS NOT NULL OR stratum = 'reference'").fillna({"n_names": 0, "has_signal": False}).withColumn("bucket", T.bucket_of(F.col("stratum"), F.col("has_signal")))
     quotas = {k: int(v) for k, v in (q.split("=") for q in a.quota)}
     if _report(corpus.check_quotas(eligible, "bucket", quotas)):
         return 2
@@ -138,9 +146,11 @@ def arms_cost(w: Workspace, a: argparse.Namespace) -> int:
     return 0
 
 
-def _requests(w: Workspace) -> DataFrame:
-    prompts = w.read("prompts")
-    cells = grid.grid(w.read("documents").select("doc_id", "text"), w.read("arms").select("arm", "model_id"), prompts.select("prompt", F.col("text").alias("instruction")))
+def _requests(w: Workspace, pilot: int = 0) -> DataFrame:
+    prompts, docs = w.read("prompts"), w.read("documents")
+    if pilot:
+        docs = corpus.pilot(docs, "bucket", "doc_id", pilot)
+    cells = grid.grid(docs.select("doc_id", "text"), w.read("arms").select("arm", "model_id"), prompts.select("prompt", F.col("text").alias("instruction")))
     key = grid.request_key(model=F.col("model_id"), payload=F.concat_ws("\n", "instruction", "text"), schema=F.lit(1))
     return cells.withColumn("request_key", key)
 
@@ -148,7 +158,7 @@ def _requests(w: Workspace) -> DataFrame:
 def extract_run(w: Workspace, a: argparse.Namespace) -> int:
     """Replay recorded responses; a repair is the response recorded under the key of its first answer."""
     responses = w.read("responses")
-    first = grid.replay(_requests(w), responses)
+    first = grid.replay(_requests(w, a.pilot), responses)
     missing = first.filter("replay = 'miss'").count()
     if missing:
         print(f"{missing} requests have no recorded response")
@@ -177,11 +187,14 @@ def extract_cache(w: Workspace, a: argparse.Namespace) -> int:
 
 
 def labels_init(w: Workspace, a: argparse.Namespace) -> int:
-    """Label rows for documents, the finished ones of an earlier sheet kept; and the worksheet."""
+    """Label rows for documents (with a total, a proportional draw of them and the pinned ones), the finished ones of an earlier sheet kept; and the worksheet."""
     names = w.read("mentions").filter("NOT distractor").groupBy("doc_key").agg(F.array_sort(F.collect_list("name")).alias("candidates"))
     none = F.lit(None).cast("array<string>")
     empty = F.array().cast("array<string>")
-    fresh = w.read("documents").filter(F.col("stratum") != "reference").join(names, "doc_key", "left")
+    prose = w.read("documents").filter(F.col("stratum") != "reference")
+    if a.total:
+        prose = corpus.proportional(prose, "bucket", "doc_id", a.total, a.seed, tuple(a.pin))
+    fresh = prose.join(names, "doc_key", "left")
     fresh = fresh.select("doc_id", F.coalesce("candidates", empty).alias("candidates"), none.alias("documents"), empty.alias("cross_referenced"), empty.alias("absent"))
     try:
         fresh = labels.merge(fresh, w.read("labels"))
@@ -262,6 +275,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--distractors", nargs="*", default=[])
     p.add_argument("--machine", nargs="*", default=[], help="names whose default depends on the machine")
     p.add_argument("--seed", type=int, default=20260919)
+    p.add_argument("--pilot", type=int, default=0, help="only so many documents, of each bucket in turn")
+    p.add_argument("--total", type=int, default=0, help="documents to label; all without it")
+    p.add_argument("--pin", nargs="*", default=[], help="documents to label in any case")
     p.add_argument("--least", type=int, default=120)
     p.add_argument("--most", type=int, default=8000)
     p.add_argument("--overhead", type=float, default=900.0)

@@ -43,21 +43,30 @@ def resolve(records: DataFrame, catalog: DataFrame, index: DataFrame) -> DataFra
 HEADER = ("name", "description", "type", "default value")
 
 
-def table_rows(page: DataFrame, heading: str) -> DataFrame:
-    """Lines of the first pipe table behind a heading line: ``(ln, line, header)``, header and separator left out.
+def table_rows(page: DataFrame, heading: str, *by: str) -> DataFrame:
+    """Lines of the first pipe table behind a heading line: ``(*by, ln, line, header, separator)``, those two left out.
 
-    ``page`` is ``(ln, line)``. The table is the first run of lines that start with a pipe behind the heading, even
-    past another heading; its first line is the header.
+    ``page`` is ``(*by, ln, line)``, ``by`` names the page. The table is the first run of lines that start with a pipe
+    behind the heading, even past another heading; its first line is the header, the next one the separator.
     """
+    whole = Window.partitionBy(*by)
     marked = page.withColumn("pipe", F.col("line").startswith("|"))
-    from_ = F.min(F.when(F.col("line") == heading, F.col("ln"))).over(Window.partitionBy())
+    from_ = F.min(F.when(F.col("line") == heading, F.col("ln"))).over(whole)
     inside = marked.withColumn("from", from_).filter(F.col("ln") > F.col("from"))
-    start = F.min(F.when(F.col("pipe"), F.col("ln"))).over(Window.partitionBy())
+    start = F.min(F.when(F.col("pipe"), F.col("ln"))).over(whole)
     inside = inside.withColumn("start", start).filter(F.col("ln") >= F.col("start"))
-    stop = F.min(F.when(~F.col("pipe"), F.col("ln"))).over(Window.partitionBy())
+    stop = F.min(F.when(~F.col("pipe"), F.col("ln"))).over(whole)
     rows = inside.withColumn("stop", stop).filter(F.col("stop").isNull() | (F.col("ln") < F.col("stop")))
-    rows = rows.withColumn("header", F.min_by("line", "ln").over(Window.partitionBy()))
-    return rows.filter((F.col("ln") != F.col("start")) & ~F.col("line").rlike(r"^[|](?:\s*:?-+:?\s*[|])+$")).select("ln", "line", "header")
+    rows = rows.withColumn("header", F.min_by("line", "ln").over(whole)).withColumn("separator", F.max(F.when(F.col("ln") == F.col("start") + 1, F.col("line"))).over(whole))
+    return rows.filter((F.col("ln") != F.col("start")) & ~F.col("line").rlike(r"^[|](?:\s*:?-+:?\s*[|])+$")).select(*by, "ln", "line", "header", "separator")
+
+
+def row_documents(rows: DataFrame, heading: str, scope: str) -> DataFrame:
+    """Each of ``rows (path, ln, line, header, separator)`` as a section of its own, its lines as they stand."""
+    title = heading.lstrip("# ")
+    text = F.concat_ws("\n", F.lit(heading), F.lit(""), "header", "separator", "line")
+    name = F.format_string("%s, line %d", F.lit(scope), "ln")
+    return rows.select("path", F.lit(title).alias("page_title"), name.alias("heading"), F.lit(title).alias("heading_path"), text.alias("text"), F.col("ln").cast("int").alias("start_line"), F.lit("reference").alias("stratum"))
 
 
 def header_fits(header: Column) -> Column:

@@ -134,3 +134,14 @@ def allocate(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
     left = F.lit(total) - F.sum("floor").over(Window.partitionBy())
     rank = F.row_number().over(Window.partitionBy().orderBy(F.desc("rest"), F.desc(key)))
     return parts.select(key, n, (F.col("floor") + (rank <= left).cast("long")).alias("share"))
+
+
+def proportional(docs: DataFrame, bucket: str, key: str, total: int, seed: int, pins: tuple = ()) -> DataFrame:
+    """``total`` rows, each bucket its share of them, in seeded hash order; and the pinned rows beside those, ``pinned``."""
+    shares = allocate(docs.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")), bucket, "n", total).select(F.col(bucket).alias("of"), "share")
+    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy(bucket).orderBy(draw_order(seed, key), key))).filter(F.col("rank") <= total)
+    drawn = ranked.join(small(shares), F.col(bucket).eqNullSafe(F.col("of"))).filter("rank <= share").drop("rank", "of", "share")
+    if not pins:
+        return drawn.withColumn("pinned", F.lit(False))
+    extra = docs.filter(F.col(key).isin(*pins)).join(drawn.select(key), key, "left_anti").select(*docs.columns)
+    return drawn.withColumn("pinned", F.lit(False)).unionByName(extra.withColumn("pinned", F.lit(True)))

@@ -159,7 +159,7 @@ def q09_label_index(spark: SparkSession, sf: str) -> DataFrame:
     CASE WHEN problem IS NULL AND trim(cell[4], '`') NOT IN ('', 'NULL') THEN trim(cell[4], '`') END AS default_value,
     CASE WHEN problem IS NULL THEN cell[4] = '' END AS default_is_empty_cell FROM p""")
 def q10_table_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.table_rows(X.frame(spark, X.REF_PAGE, "ln, line"), "### Settings")
+    rows = C.table_rows(X.frame(spark, X.REF_PAGE, "ln, line"), "### Settings").drop("separator")
     return C.parse_rows(rows).withColumn("aliases", F.array_join("aliases", ","))
 
 
@@ -504,3 +504,24 @@ def q40_pins(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT lang, source, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY CUBE (lang, source)""")
 def q38_document_cube(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").cube("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS path, CAST(4 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INTEGER) AS start_line, 'reference' AS stratum,
+  concat('### Nations', chr(10), chr(10), '| name | key |', chr(10), '|---|---|', chr(10), '| ', n_name, ' | ', n_nationkey, ' |') AS text FROM nation""")
+def q41_row_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """A page for each region with a table of its nations, and each row of those as a document."""
+    nation = table(spark, sf, "nation").withColumn("path", F.col("n_regionkey").cast("string"))
+    at = F.row_number().over(Window.partitionBy("path").orderBy("n_nationkey")) + 4
+    rows = nation.select("path", at.alias("ln"), F.format_string("| %s | %d |", "n_name", "n_nationkey").alias("line"))
+    head = F.array(*(F.lit(x) for x in ("### Nations", "", "| name | key |", "|---|---|")))
+    top = nation.select("path").distinct().select("path", F.posexplode(head).alias("at", "line")).select("path", (F.col("at") + 1).alias("ln"), "line")
+    return C.row_documents(C.table_rows(top.unionByName(rows), "### Nations", "path"), "### Nations", "GLOBAL").select("path", "start_line", "stratum", "text")
+
+
+@query(f"""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT sum(n) AS t FROM c), f AS (SELECT lang, (n * 40) // t AS fl, (n * 40) % t AS rest FROM c, t),
+  r AS (SELECT *, row_number() OVER (ORDER BY rest DESC, lang DESC) AS k, 40 - sum(fl) OVER () AS spare FROM f), s AS (SELECT lang, fl + CASE WHEN k <= spare THEN 1 ELSE 0 END AS share FROM r),
+  o AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_DRAW}, doc_id) AS k FROM documents), d AS (SELECT doc_id FROM o JOIN s ON o.lang IS NOT DISTINCT FROM s.lang WHERE k <= share)
+  SELECT doc_id, FALSE AS pinned FROM d UNION ALL SELECT doc_id, TRUE FROM documents WHERE doc_id IN (1, 2, 3, 5, 8) AND doc_id NOT IN (SELECT doc_id FROM d)""")
+def q42_label_draw(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    return K.proportional(docs, "lang", "doc_id", 40, SEED, (1, 2, 3, 5, 8)).select("doc_id", "pinned")

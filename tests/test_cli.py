@@ -84,6 +84,27 @@ def test_end_to_end(spark, work, capsys):
     assert got == {"valid_after_repair": (20, 1.0), "valid_first_pass": (10, 0.5)}
 
 
+def test_reference_rows_and_draws(spark, work, tmp_path):
+    """Rows of a reference page are documents whatever their length; a labelled draw is proportional, with pins."""
+    run = lambda *a: cli.main([str(tmp_path), *a], spark)
+    ref = ("--reference", f"{work}/ref.md", "--heading", "### Global=GLOBAL")
+    assert run("oracle", "build", "--catalog", f"{work}/catalog.jsonl", *ref) == 0
+    assert run("corpus", "build", "--pages", f"{work}/pages", *ref, "--quota", "narrative-signal=2", "--quota", "reference=2", "--least", "20", "--most", "160") == 0
+    docs = {(r["bucket"], r["start_line"]): r for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    assert {k for k in docs if k[0] == "reference"} == {("reference", 5), ("reference", 6)}
+    lines = REFERENCE.split("\n")
+    assert docs["reference", 6]["text"] == "\n".join([*lines[:4], lines[5]])
+    assert run("labels", "init", "--total", "1") == 0
+    one = [r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/labels.parquet").collect()]
+    other = ({r["doc_id"] for k, r in docs.items() if k[0] != "reference"} - set(one)).pop()
+    assert len(one) == 1 and run("labels", "init", "--total", "1", "--pin", other) == 0
+    assert {r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/labels.parquet").collect()} == {one[0], other}
+    assert run("arms", "verify", "--arms", f"{work}/arms.jsonl", "--live", f"{work}/live.jsonl") == 0
+    spark.createDataFrame([("v1", "List.")], "prompt string, text string").write.parquet(f"{tmp_path}/prompts.parquet")
+    got = cli._requests(cli.Workspace(spark, str(tmp_path)), 2).select("doc_id").distinct().collect()
+    assert sorted(r["doc_id"].rsplit("-", 1)[0] for r in got) == ["narrative-signal", "reference"]
+
+
 def test_unusable_input(spark, tmp_path):
     assert cli.main([str(tmp_path), "score", "run"], spark) == 2
     assert cli.main([str(tmp_path), "score", "nothing"], spark) == 2

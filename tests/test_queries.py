@@ -10,7 +10,7 @@ import pytest
 from docscope.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages labels benchmark conversations events".split()
+TABLES = "nation documents pages labels benchmark conversations events".split()
 
 
 @pytest.fixture(scope="module")
