@@ -2,8 +2,8 @@
 
 A text becomes U+2581 for spaces behind one added U+2581, and splits where no vocabulary piece can span: before a run
 of U+2581 and around characters that no piece holds (those turn into byte pieces). Each segment is encoded by
-backtracking. An Aho-Corasick automaton over the pieces names the longest match at a position and each piece's next
-shorter prefix; a piece may follow another if re-merging the two by the plain merge rule leaves them as they are; a
+backtracking. One scan of an Aho-Corasick automaton over the pieces names the longest match at each position of a
+segment, and one over a piece its next shorter prefix; a piece may follow another if re-merging the two by the plain merge rule leaves them as they are; a
 bitfield remembers positions from which no valid ending was found, so no position fails twice.
 
 Runs of two or more U+2581 are the one place where the vocabulary has ties (all such pieces score the same, lowest),
@@ -57,10 +57,8 @@ class PieceCodec:
         for p in self.id:
             self.trie.add_word(p, p)
         self.trie.make_automaton()
-        self.longest = max(map(len, self.id))
         self._pairs: dict[tuple[str, str], bool] = {}
         self._own: dict[str, bool] = {}
-        self._best: dict[str, str | None] = {}
         self._less: dict[str, str | None] = {}
         self._name = {p: str(i) for p, i in self.id.items()}
         self._memo: dict[str, str] = {}
@@ -105,30 +103,26 @@ class PieceCodec:
             got = self._pairs[left, right] = self.merge(left + right) == [left, right]
         return got
 
-    def _match(self, text: str, at: int) -> str | None:
-        """The longest piece at ``at`` that merges can reach."""
-        n = self.trie.longest_prefix(text[at : at + self.longest])
-        if (got := self._best.get(key := text[at : at + n], "")) == "":
-            got = self._best[key] = self._shorter(key, n + 1)
-        return got
-
-    def _shorter(self, piece: str, below: int | None = None) -> str | None:
-        """The longest reachable piece that is a proper prefix of ``piece`` (or a prefix under ``below`` characters)."""
-        for n in range((below or len(piece)) - 1, 0, -1):
-            if (part := piece[:n]) in self.id and self._whole(part):
-                return part
-        return None
+    def _longest(self, text: str) -> list[str | None]:
+        """For each position the longest piece from there on that merges can reach, by one scan of the automaton."""
+        out: list[str | None] = [None] * len(text)
+        for end, piece in self.trie.iter(text):  # by their ends, so a later match from a position is a longer one
+            if self._whole(piece):
+                out[end + 1 - len(piece)] = piece
+        return out
 
     def _next(self, piece: str) -> str | None:
+        """The longest reachable piece that is a proper prefix of ``piece``."""
         if (got := self._less.get(piece, "")) == "":
-            got = self._less[piece] = self._shorter(piece)
+            got = self._less[piece] = self._longest(piece[:-1])[0] if len(piece) > 1 else None
         return got
 
     def backtrack(self, text: str) -> list[str]:
         """Pieces of a text of known characters that holds no two adjacent U+2581."""
         n, at, out = len(text), 0, []
         open_ = bytearray(b"\xff") * (n // 8 + 1)
-        piece = self._match(text, 0)
+        longest = self._longest(text)
+        piece = longest[0]
         while at < n:
             if piece is None:
                 open_[at >> 3] &= ~(1 << (at & 7))
@@ -142,7 +136,7 @@ class PieceCodec:
             if open_[end >> 3] >> (end & 7) & 1 and (not out or self._fits(out[-1], piece)):
                 out.append(piece)
                 at = end
-                piece = self._match(text, at) if at < n else None
+                piece = longest[at] if at < n else None
             else:
                 piece = self._next(piece)
         return out

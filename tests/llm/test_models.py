@@ -53,6 +53,14 @@ def test_backtracking_needs_no_fallback(codec):
         assert codec.backtrack(text) == codec.merge(text)
 
 
+def test_one_scan_names_the_longest_reachable_piece(codec):
+    for t in ("▁international▁understandings", "aaaaaaab", "▁x"):
+        for at, piece in enumerate(codec._longest(t)):
+            reachable = [t[at:end] for end in range(at + 1, len(t) + 1) if t[at:end] in codec.id and codec.merge(t[at:end]) == [t[at:end]]]
+            assert piece == max(reachable, key=len)
+            assert codec._next(piece) == max((p for p in reachable if p != piece), key=len, default=None)
+
+
 def test_full_memo_changes_nothing(codec, library, monkeypatch):
     monkeypatch.setattr("docscope.llm.piece_codec.MEMO", 20)
     for t in strange_texts()[:300]:
