@@ -128,9 +128,11 @@ def fit(docs: DataFrame) -> Model | None:
     if not counts:
         return None
     rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))))
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    # Drawn by id and text, repeated rows once: neither an id nor a row that recurs can swell what is collected.
+    order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     drawn = usable.withColumn("ord", order).filter(F.col("ord") < rate[F.col("lang")] * float(1 << 40))
-    rows = drawn.select("lang", "ord", "text").mapInArrow(_packed, "lang string, ord long, bits binary").collect()
+    drawn = drawn.select("lang", "ord", "text").dropDuplicates(["lang", "ord"])
+    rows = drawn.mapInArrow(_packed, "lang string, ord long, bits binary").collect()
     rows.sort(key=lambda r: (r["lang"], r["ord"], bytes(r["bits"])))
     return train([r["lang"] for r in rows], np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1))
 
