@@ -17,6 +17,8 @@ positions share an anchor; the stretch of positions with one anchor and the byte
 
 Texts are UTF-8 bytes; null is empty. Matches never cross documents. Repeated rows are repeats of each other, so texts
 of 200 bytes or more that occur twice vanish. An empty table gives an empty result. Only doc_id and text are read.
+Segments and texts are named by 128 bits. Shorter texts take part in no join. A text with more than 1/512 of all rows (there
+are fewer than 512 such) is known to vanish, so its rows stay where they are and one of them stands for all.
 A bucket with more than SPLIT segments is split by the bytes before the anchor and, again, by those after it: every
 200-byte string has enough bytes on one side to fall whole into one of these finer buckets.
 """
@@ -28,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docscope.llm.common import constants, cut, _INVERSE, mix, _power, release, ship, table
+from docscope.llm.common import constants, cut, HOT, _INVERSE, mix, _power, release, row_keys, ship, table
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1  # grams in a string: 169
@@ -92,15 +95,16 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of segments, about 50,000 rows at a time: bucket, segment, key, first, n, anchor."""
+    """Columns of segments, about 50,000 rows at a time: bucket, segment, the text's two keys, first, n, anchor."""
     got: list[tuple[np.ndarray, ...]] = []
     waiting = 0
     for batch in batches:
-        keys = batch.column("key").to_numpy(zero_copy_only=False)
-        for key, d in zip(keys, _texts(batch.column("text")), strict=True):
+        keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("ka", "kb"))
+        for ka, kb, d in zip(*keys, _texts(batch.column("text")), strict=True):
             bucket, seg, first, n, anchor = segments(d)
             if len(bucket):
-                got.append((bucket.view(np.int64), seg.view(np.int64), np.full(len(bucket), key, np.int64), first.astype(np.int32), n.astype(np.int32), anchor.astype(np.int32)))
+                named = (np.full(len(bucket), k, np.int64) for k in (ka, kb))
+                got.append((bucket.view(np.int64), seg.view(np.int64), *named, first.astype(np.int32), n.astype(np.int32), anchor.astype(np.int32)))
                 waiting += len(bucket)
             if waiting > 50_000:
                 yield [np.concatenate(x) for x in zip(*got, strict=True)]
@@ -109,43 +113,68 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield [np.concatenate(x) for x in zip(*got, strict=True)]
 
 
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Which of the sorted rows differ from the row before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments with how often they were seen and one of their places, combined before the shuffle."""
     for cols in _listed(batches):
-        _, at, times = np.unique(cols[1], return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in cols] + [pa.array(times)], ["bucket", "seg", "key", "first", "n", "anchor", "times"])
+        order = np.lexsort((cols[1], cols[0]))
+        at = np.flatnonzero(_fresh(cols[0][order], cols[1][order]))
+        times = np.diff(np.append(at, len(order)))
+        yield pa.RecordBatch.from_arrays([pa.array(c[order[at]]) for c in cols] + [pa.array(times)], ["bucket", "seg", "ka", "kb", "first", "n", "anchor", "times"])
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, seg, key, first, n, _ in _listed(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(key), pa.array(first), pa.array(n.astype(np.int16))], ["seg", "key", "first", "n"])
+    for bucket, seg, ka, kb, first, n, _ in _listed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, seg, ka, kb, first, n.astype(np.int16))], ["home", "seg", "ka", "kb", "first", "n"])
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each text; there are fewer than HOT texts."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        keep = []
+        for i, key in enumerate(zip(batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int32()))
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut wanted segments out of their texts; segments of split buckets go out twice, under finer names."""
-    names = ["bucket", "seg", "n", "anchor", "body"]
+    names = ["bucket", "home", "seg", "n", "anchor", "body"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
     before = None
     for batch in batches:
         rows: list[tuple] = []
-        for key, d, wanted in zip(batch.column("key").to_pylist(), _texts(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
+        keys = zip(batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), strict=True)
+        for key, d, wanted in zip(keys, _texts(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
             again, before = key == before, key
             for w in () if again else wanted:  # copies of a text stand together
                 first, n, anchor = w["first"], w["n"], w["anchor"]
                 body = d[first : first + n - 1 + LENGTH].tobytes()
                 if not w["split"]:
-                    rows.append((w["bucket"], w["seg"], n, anchor, body))
+                    rows.append((w["bucket"], w["bucket"], w["seg"], n, anchor, body))
                     continue
                 name = w["bucket"].to_bytes(8, "little", signed=True)
                 left, right = body[max(0, anchor - LEFT) : anchor], body[anchor + GRAM : anchor + GRAM + RIGHT]
                 for side, near, whole in ((b"L", left, LEFT), (b"R", right, RIGHT)):
                     if len(near) == whole:
                         fine = hashlib.blake2b(name + side + near, digest_size=8).digest()
-                        rows.append((int.from_bytes(fine, "little", signed=True), w["seg"], n, anchor, body))
+                        rows.append((int.from_bytes(fine, "little", signed=True), w["bucket"], w["seg"], n, anchor, body))
             if len(rows) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def _name(*keys: np.ndarray) -> np.ndarray:
@@ -216,26 +245,24 @@ def sort_block(bucket: np.ndarray, n: np.ndarray, anchor: np.ndarray, bodies: li
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in bucket order; whole buckets are sorted together, several to a block."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, full = 0, BLOCK
 
     def done(rows: pa.Table) -> pa.RecordBatch:
-        order = np.lexsort((rows["seg"].to_numpy(), rows["bucket"].to_numpy()))
-        bucket, seg = rows["bucket"].to_numpy()[order], rows["seg"].to_numpy()[order]
-        fresh = np.ones(len(order), bool)  # one row for each segment of a bucket
-        fresh[1:] = (bucket[1:] != bucket[:-1]) | (seg[1:] != seg[:-1])
-        rows = rows.take(pa.array(order[fresh]))
+        named = [rows[c].to_numpy() for c in ("bucket", "home", "seg")]
+        order = np.lexsort(named[::-1])
+        rows = rows.take(pa.array(order[_fresh(*(c[order] for c in named))]))  # one row for each segment of a bucket
         bucket = rows["bucket"].to_numpy()
         n, anchor = rows["n"].to_numpy(), rows["anchor"].to_numpy()
         found = sort_block(bucket, n, anchor, rows["body"].to_pylist())
         hit = np.flatnonzero(found.any(1))
         bits = [np.packbits(found[r, ANCHOR - anchor[r] : ANCHOR - anchor[r] + n[r]]).tobytes() for r in hit]
-        return pa.RecordBatch.from_arrays([pa.array(rows["seg"].to_numpy()[hit]), pa.array(bits, pa.binary())], ["seg", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[c].to_numpy()[hit]) for c in ("home", "seg")] + [pa.array(bits, pa.binary())], ["home", "seg", "bits"])
 
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             size += batch.num_rows
-        if size < BLOCK:
+        if size < full:
             continue
         rows = pa.Table.from_batches(held)
         bucket = rows["bucket"].to_numpy()
@@ -244,12 +271,14 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield done(rows.slice(0, border))
         held = rows.slice(border).combine_chunks().to_batches()
         size = rows.num_rows - border
+        full = max(BLOCK, 2 * size)  # one large bucket is put together anew only as often as it doubles
     if held:
         yield done(pa.Table.from_batches(held))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        batch = batch.filter(pc.invert(batch.column("stands")))
         size, removed, spans, digest = [], [], [], []
         for d, runs in zip(_texts(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
             starts = np.zeros(len(d) + 1, bool)
@@ -281,26 +310,39 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     ship(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    long = texts.filter(F.octet_length("text") >= LENGTH).select("key", "text")
+    keys = ["ka", "kb"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    long = rows.filter(F.octet_length("text") >= LENGTH).select(*row_keys("text"), "doc_id", "text", F.lit(False).alias("stands"))
+    texts, hot = long, None
+    often = cut(long.groupBy(*keys).count().filter(F.col("count") * HOT > F.lit(max(docs.count(), HOT))).select(*keys))
+    if not often.isEmpty():  # fewer than HOT rows whatever the size
+        hot = long.join(F.broadcast(often), keys, "left_semi")
+        one = hot.mapInArrow(_once, "ka long, kb long, doc_id long, text string, stands boolean").dropDuplicates(keys)
+        twice = one.select(*keys, "doc_id", "text", F.lit(True).alias("stands"), F.explode(F.array(F.lit(0), F.lit(1))).alias("x")).drop("x")
+        texts = long.join(F.broadcast(often), keys, "left_anti").union(twice)
     # One shuffle by bucket serves both counts: places of a segment, and segments of a bucket.
-    counted = long.mapInArrow(_counted, "bucket long, seg long, key long, first int, n int, anchor int, times long").repartition(parts, "bucket")
-    found = counted.groupBy("bucket", "seg").agg(F.sum("times").alias("times"), F.min(F.struct("key", "first", "n", "anchor")).alias("place"))
+    counted = texts.select(*keys, "text").mapInArrow(_counted, "bucket long, seg long, ka long, kb long, first int, n int, anchor int, times long").repartition(parts, "bucket")
+    found = counted.groupBy("bucket", "seg").agg(F.sum("times").alias("times"), F.min(F.struct("ka", "kb", "first", "n", "anchor")).alias("place"))
     found = found.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
     status = cut(found.filter("times > 1 OR kinds > 1"))
     release(docs.sparkSession)
-    wanted = status.filter("kinds > 1").select("place.key", F.struct("bucket", "seg", "place.first", "place.n", "place.anchor", (F.col("kinds") > SPLIT).alias("split")).alias("w"))
-    wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
+    wanted = status.filter("kinds > 1").select("place.ka", "place.kb", F.struct("bucket", "seg", "place.first", "place.n", "place.anchor", (F.col("kinds") > SPLIT).alias("split")).alias("w"))
+    wanted = wanted.groupBy(*keys).agg(F.collect_list("w").alias("wanted"))
     # Texts are shuffled by key once: both joins with them read the same exchange, for which their columns are alike.
-    held = texts.join(wanted, "key").select("key", "doc_id", "text", "wanted")
-    bodies = held.mapInArrow(_fetch, "bucket long, seg long, n int, anchor int, body binary")
-    ties = bodies.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort, "seg long, bits binary")
-    known = status.filter("times > 1").select("seg", F.lit(None).cast("binary").alias("bits"))
-    single = ties.join(status.filter("times = 1").select("seg"), "seg", "left_semi")
-    places = long.mapInArrow(_placed, "seg long, key long, first int, n short")
-    runs = places.join(known.union(single), "seg").groupBy("key").agg(F.collect_set(F.struct("first", "n", "bits")).alias("runs"))
-    out = texts.join(runs, "key", "left").select("key", "doc_id", "text", "runs")
-    return out.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    held = texts.join(wanted, keys).select(*keys, "doc_id", "text", "stands", "wanted")
+    bodies = held.mapInArrow(_fetch, "bucket long, home long, seg long, n int, anchor int, body binary")
+    ties = bodies.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort, "home long, seg long, bits binary")
+    known = status.filter("times > 1").select(F.col("bucket").alias("home"), "seg", F.lit(None).cast("binary").alias("bits"))
+    single = ties.join(status.filter("times = 1").select(F.col("bucket").alias("home"), "seg"), ["home", "seg"], "left_semi")
+    places = texts.select(*keys, "text").mapInArrow(_placed, "home long, seg long, ka long, kb long, first int, n short")
+    runs = places.join(known.union(single), ["home", "seg"]).groupBy(*keys).agg(F.collect_set(F.struct("first", "n", "bits")).alias("runs"))
+    out = texts.join(runs, keys, "left").select(*keys, "doc_id", "text", "stands", "runs")
+    out = out.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    whole = lambda df, gone, spans, kept: df.select(
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), gone.alias("n_removed"), F.lit(spans).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256")
+    )
+    out = out.union(whole(rows.filter(F.octet_length("text") < LENGTH), F.lit(0).cast("long"), 0, F.col("text").cast("binary")))
+    return out if hot is None else out.union(whole(hot, F.octet_length("text").cast("long"), 1, F.lit("").cast("binary")))
 
 
 def op5_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

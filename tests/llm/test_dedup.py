@@ -158,9 +158,10 @@ def repeat_rows(seed=11):
     return [(i, t, None, None, 0) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("split", [None, 1])
-def test_exact_repeats(spark, make, monkeypatch, split):
-    """With ``split`` every bucket takes the way of crowded ones."""
+@pytest.mark.parametrize("split, hot", [(None, 512), (1, 512), (None, 1), (1, 1)])
+def test_exact_repeats(spark, make, monkeypatch, split, hot):
+    """With ``split`` every bucket takes the way of crowded ones; with ``hot`` 512 every copied text that of hot ones."""
+    monkeypatch.setattr(repeat_spans, "HOT", hot)
     if split is not None:
         monkeypatch.setattr(repeat_spans, "SPLIT", split)
     rows = repeat_rows()
