@@ -17,7 +17,7 @@ positions share an anchor; the stretch of positions with one anchor and the byte
 
 Texts are UTF-8 bytes; null is empty. Matches never cross documents. Repeated rows are repeats of each other, so texts
 of 200 bytes or more that occur twice vanish. An empty table gives an empty result. Only doc_id and text are read.
-Segments and texts are named by 128 bits. Shorter texts take part in no join. A text with more than 1/512 of all rows (there
+Segments are named by 128 bits, texts by 80. Shorter texts take part in no join. A text with more than 1/512 of all rows (there
 are fewer than 512 such) is known to vanish, so its rows stay where they are and one of them stands for all.
 A bucket with more than SPLIT segments is split by the bytes before the anchor and, again, by those after it: every
 200-byte string has enough bytes on one side to fall whole into one of these finer buckets.
@@ -50,6 +50,8 @@ STRETCH = 1 << 20
 
 _BYTE = constants(256, 71)
 _PLACE = np.uint64((1 << 24) - 1)
+#: A place in a text is one number: first position, positions, anchor, and NAMED bits of the text's second key.
+NAMED = (1 << 16) - 1
 
 
 def _sums(d: np.ndarray) -> np.ndarray:
@@ -95,7 +97,7 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of segments, about 50,000 rows at a time: bucket, segment, the text's two keys, first, n, anchor."""
+    """Columns of segments, about 50,000 rows at a time: bucket, segment, the text's first key, place."""
     got: list[tuple[np.ndarray, ...]] = []
     waiting = 0
     for batch in batches:
@@ -103,8 +105,8 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for ka, kb, d in zip(*keys, _texts(batch.column("text")), strict=True):
             bucket, seg, first, n, anchor = segments(d)
             if len(bucket):
-                named = (np.full(len(bucket), k, np.int64) for k in (ka, kb))
-                got.append((bucket.view(np.int64), seg.view(np.int64), *named, first.astype(np.int32), n.astype(np.int32), anchor.astype(np.int32)))
+                place = first << 32 | n << 24 | anchor << 16 | kb
+                got.append((bucket.view(np.int64), seg.view(np.int64), np.full(len(bucket), ka, np.int64), place))
                 waiting += len(bucket)
             if waiting > 50_000:
                 yield [np.concatenate(x) for x in zip(*got, strict=True)]
@@ -128,12 +130,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((cols[1], cols[0]))
         at = np.flatnonzero(_fresh(cols[0][order], cols[1][order]))
         times = np.diff(np.append(at, len(order)))
-        yield pa.RecordBatch.from_arrays([pa.array(c[order[at]]) for c in cols] + [pa.array(times)], ["bucket", "seg", "ka", "kb", "first", "n", "anchor", "times"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[order[at]]) for c in cols] + [pa.array(times)], ["bucket", "seg", "ka", "place", "times"])
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, seg, ka, kb, first, n, _ in _listed(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, seg, ka, kb, first, n.astype(np.int16))], ["home", "seg", "ka", "kb", "first", "n"])
+    for cols in _listed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["home", "seg", "ka", "place"])
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +161,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, d, wanted in zip(keys, _texts(batch.column("text")), batch.column("wanted").to_pylist(), strict=True):
             again, before = key == before, key
             for w in () if again else wanted:  # copies of a text stand together
-                first, n, anchor = w["first"], w["n"], w["anchor"]
+                first, n, anchor = w["place"] >> 32, w["place"] >> 24 & 255, w["place"] >> 16 & 255
                 body = d[first : first + n - 1 + LENGTH].tobytes()
                 if not w["split"]:
                     rows.append((w["bucket"], w["bucket"], w["seg"], n, anchor, body))
@@ -283,11 +285,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d, runs in zip(_texts(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
             starts = np.zeros(len(d) + 1, bool)
             for x in runs or ():
+                first, n = x["place"] >> 32, x["place"] >> 24 & 255
                 if x["bits"] is None:
-                    starts[x["first"] : x["first"] + x["n"]] = True
+                    starts[first : first + n] = True
                 else:
-                    bits = np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: x["n"]]
-                    starts[x["first"] : x["first"] + x["n"]] |= bits.astype(bool)
+                    starts[first : first + n] |= np.unpackbits(np.frombuffer(x["bits"], np.uint8))[:n].astype(bool)
             at = np.flatnonzero(starts)
             edge = np.zeros(len(d) + 1, np.int64)
             np.add.at(edge, at, 1)
@@ -312,21 +314,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["ka", "kb"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    long = rows.filter(F.octet_length("text") >= LENGTH).select(*row_keys("text"), "doc_id", "text", F.lit(False).alias("stands"))
+    ka, kb = row_keys("text")
+    named_row = [ka, kb.bitwiseAND(NAMED).alias("kb"), "doc_id", "text"]
+    long = rows.filter(F.octet_length("text") >= LENGTH).select(*named_row, F.lit(False).alias("stands"))
     texts, hot = long, None
     often = cut(long.groupBy(*keys).count().filter(F.col("count") * HOT > F.lit(max(docs.count(), HOT))).select(*keys))
     if not often.isEmpty():  # fewer than HOT rows whatever the size
         hot = long.join(F.broadcast(often), keys, "left_semi")
         one = hot.mapInArrow(_once, "ka long, kb long, doc_id long, text string, stands boolean").dropDuplicates(keys)
-        twice = one.select(*keys, "doc_id", "text", F.lit(True).alias("stands"), F.explode(F.array(F.lit(0), F.lit(1))).alias("x")).drop("x")
+        # Named anew, as keys out of a Python step may be null: an inner join would test them, a left join would not, and
+        # the two would not share an exchange.
+        twice = cut(one.select(*named_row, F.lit(True).alias("stands"), F.explode(F.array(F.lit(0), F.lit(1))).alias("x")).drop("x"))
         texts = long.join(F.broadcast(often), keys, "left_anti").union(twice)
     # One shuffle by bucket serves both counts: places of a segment, and segments of a bucket.
-    counted = texts.select(*keys, "text").mapInArrow(_counted, "bucket long, seg long, ka long, kb long, first int, n int, anchor int, times long").repartition(parts, "bucket")
-    found = counted.groupBy("bucket", "seg").agg(F.sum("times").alias("times"), F.min(F.struct("ka", "kb", "first", "n", "anchor")).alias("place"))
+    counted = texts.select(*keys, "text").mapInArrow(_counted, "bucket long, seg long, ka long, place long, times long").repartition(parts, "bucket")
+    found = counted.groupBy("bucket", "seg").agg(F.sum("times").alias("times"), F.min(F.struct("ka", "place")).alias("at"))
     found = found.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
     status = cut(found.filter("times > 1 OR kinds > 1"))
     release(docs.sparkSession)
-    wanted = status.filter("kinds > 1").select("place.ka", "place.kb", F.struct("bucket", "seg", "place.first", "place.n", "place.anchor", (F.col("kinds") > SPLIT).alias("split")).alias("w"))
+    named = lambda place: F.col(place).bitwiseAND(NAMED).alias("kb")
+    wanted = status.filter("kinds > 1").select("at.ka", named("at.place"), F.struct("bucket", "seg", "at.place", (F.col("kinds") > SPLIT).alias("split")).alias("w"))
     wanted = wanted.groupBy(*keys).agg(F.collect_list("w").alias("wanted"))
     # Texts are shuffled by key once: both joins with them read the same exchange, for which their columns are alike.
     held = texts.join(wanted, keys).select(*keys, "doc_id", "text", "stands", "wanted")
@@ -334,8 +341,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ties = bodies.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sort, "home long, seg long, bits binary")
     known = status.filter("times > 1").select(F.col("bucket").alias("home"), "seg", F.lit(None).cast("binary").alias("bits"))
     single = ties.join(status.filter("times = 1").select(F.col("bucket").alias("home"), "seg"), ["home", "seg"], "left_semi")
-    places = texts.select(*keys, "text").mapInArrow(_placed, "home long, seg long, ka long, kb long, first int, n short")
-    runs = places.join(known.union(single), ["home", "seg"]).groupBy(*keys).agg(F.collect_set(F.struct("first", "n", "bits")).alias("runs"))
+    places = texts.select(*keys, "text").mapInArrow(_placed, "home long, seg long, ka long, place long")
+    runs = places.join(known.union(single), ["home", "seg"]).select("ka", named("place"), F.struct("place", "bits").alias("run"))
+    runs = runs.groupBy(*keys).agg(F.collect_set("run").alias("runs"))
     out = texts.join(runs, keys, "left").select(*keys, "doc_id", "text", "stands", "runs")
     out = out.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     whole = lambda df, gone, spans, kept: df.select(
