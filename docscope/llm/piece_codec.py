@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from docscope.llm.common import ship, table
 
 MARK = "▁"
-#: Segments kept with their ids, for one Python worker; the table is emptied when full. Longer ones are not kept.
-MEMO, MEMO_CHARS = 800_000, 48
+#: Segments kept with their ids, for one Python worker (about 50 MB); the table is emptied when full. Longer ones are not
+#: kept. Workers outlive their stage, so what they keep is missing from the stages after.
+MEMO, MEMO_CHARS = 200_000, 48
 
 
 def default_model() -> str:
