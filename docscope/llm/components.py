@@ -53,18 +53,19 @@ def connected_components(edges: DataFrame, python: bool = False) -> DataFrame:
     """Map every node of ``edges (a, b)`` to the least node it reaches.
 
     With ``python`` each partition of at most about ROWS_A_PART edges first becomes a forest of stars, in every round,
-    which leaves little or nothing to the rounds; without, all of it is built-in functions.
+    which leaves little or nothing to the rounds; such ``edges`` should be materialised, as they are read twice and not
+    copied. Without, all of it is built-in functions.
 
     Returns ``(node, component)`` with one row per node, roots included. Self-loops and null ends are ignored;
     repeated and reversed edges count once. No edges give no rows. A hub of any degree is only ever a grouped
     minimum (combined before the shuffle) and an equi-join, so no neighbour list is gathered anywhere.
     """
     edges = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = cut(edges if python else edges.distinct())
     if python:
         ship(edges)
         rows = edges.count()
-        edges = cut(edges.coalesce(parts_for(rows)).mapInArrow(_forest, "a long, b long"))
+        edges = edges.coalesce(parts_for(rows)).mapInArrow(_forest, "a long, b long")
+    edges = cut(edges if python else edges.distinct())
     print_of = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = print_of(edges)
     alone = python and parts_for(rows) == 1  # one forest is the answer

@@ -376,15 +376,16 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFrame | None, component: DataFrame | None, repeated: bool, sift: bool) -> tuple[DataFrame | None, DataFrame | None]:
-    """Confirm ``pairs (a, b, agree)``, best first, beside ``links``; returns the links and their components.
+def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, component: DataFrame | None, repeated: bool, sift: bool) -> DataFrame | None:
+    """Confirm ``pairs (a, b, agree)``, best first, beside what ``component`` joins; returns the components of both.
 
-    With ``sift``, few of the pairs are expected to be similar.
+    With ``sift``, few of the pairs are expected to be similar. Earlier links are kept as the stars of their components,
+    so a round reads its own links and no earlier round's.
     """
     spark = docs.sparkSession
     todo, left_over = pairs, pairs.count()
     if not left_over:
-        return links, component
+        return component
     release(spark)
     nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     rows = cut(classes.select("cls", "row_key", "ka", "kb").join(nodes, "cls", "left_semi"))
@@ -399,7 +400,7 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFram
         todo = cut(pairs.join(first, "a").join(second, "b").mapInArrow(_sift, "a long, b long, agree int"))
         left_over = todo.count()
         if not left_over:
-            return links, component
+            return component
         rows = cut(todo.select(F.col("a").alias("cls")).union(todo.select(F.col("b").alias("cls"))).distinct(), 2 * left_over)
         texts = texts.join(small(rows), "cls", "left_semi")
     top, n_nodes = 1, rows.count()
@@ -412,18 +413,18 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, links: DataFram
         first = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"), F.col("ka").alias("aka"), F.col("kb").alias("akb"))
         second = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"), F.col("ka").alias("bka"), F.col("kb").alias("bkb"))
         held = cut(chosen.join(first, "a").join(second, "b").mapInArrow(_confirm, "a long, b long"))
-        links = held if links is None else links.union(held)
+        links = held if component is None else held.union(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
         component = cut(connected_components(links, python=True), left_over)
         if left_over <= n_nodes:
             release(spark)
-            return links, component
+            return component
         at = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
         left = ranked.filter("NOT picked").join(at("a"), "a", "left").join(at("b"), "b", "left")
         todo = cut(left.filter(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b", "agree"), left_over)
         left_over = todo.count()
         release(spark)
         if not left_over:
-            return links, component
+            return component
         top *= 4
 
 
@@ -435,7 +436,7 @@ def _of(rows: DataFrame, component: DataFrame | None) -> DataFrame:
     return rows.join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
 
 
-def complete(docs: DataFrame, classes: DataFrame, links: DataFrame | None, component: DataFrame | None, repeated: bool) -> DataFrame | None:
+def complete(docs: DataFrame, classes: DataFrame, component: DataFrame | None, repeated: bool) -> DataFrame | None:
     """Components with every link between them that the forest did not propose."""
     release(docs.sparkSession)
     common, counts = common_shingles(docs)
@@ -449,7 +450,7 @@ def complete(docs: DataFrame, classes: DataFrame, links: DataFrame | None, compo
     release(docs.sparkSession)
     met = open_.repartition("token").sortWithinPartitions("token").mapInArrow(_meet, "a long, b long, worth int")
     pairs = cut(met.groupBy("a", "b").agg(F.max("worth").alias("agree")))
-    return _link(docs, classes, pairs, links, component, repeated, sift=True)[1]
+    return _link(docs, classes, pairs, component, repeated, sift=True)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -471,8 +472,8 @@ def groups(docs: DataFrame) -> DataFrame:
     )
     pairs = cut(candidates(classes, parts))
     repeated = not signed.groupBy("row_key", "row_key2").count().filter("count > 1").isEmpty()
-    links, component = _link(docs, classes, pairs, None, None, repeated, sift=False)
-    component = complete(docs, classes, links, component, repeated)
+    component = _link(docs, classes, pairs, None, repeated, sift=False)
+    component = complete(docs, classes, component, repeated)
     # Class -> component. A class may hold most rows and a component most classes, so both joins are spread.
     named = _of(classes.select("ka", "kb", "n_shingles", "id", "cls", F.col("weight").alias("copies")), component)
     least = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("weight"))

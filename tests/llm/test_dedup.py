@@ -268,3 +268,37 @@ def test_signatures_agree_as_sets_do():
     same = np.frombuffer(lsh_forest.signature(a), ">u2") == np.frombuffer(lsh_forest.signature(b), ">u2")
     assert abs(same.mean() - 340 / 460) < 0.25
     assert lsh_forest.signature(a[::-1].copy()) == lsh_forest.signature(a)
+
+
+def test_forests_read_links_without_a_copy_of_their_files(spark, monkeypatch):
+    """Links of many small files are not written again, file by file, before their components are sought."""
+    from docscope.llm import components as module
+
+    wrote = []
+    monkeypatch.setattr(module, "cut", lambda df, rows=None: wrote.append((out := common.cut(df, rows)).rdd.getNumPartitions()) or out)
+    links = common.cut(spark.createDataFrame([(3, 1), (2, 3), (9, 8), (5, 5), (None, 4), (8, 9)], "a long, b long").repartition(40))
+    assert links.rdd.getNumPartitions() == 40
+    got = {r["node"]: r["component"] for r in connected_components(links, python=True).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}
+    assert wrote == [1]
+
+
+def test_rounds_do_not_pile_up_links(spark, make, monkeypatch):
+    """In a crowd of near misses there are many rounds; each reads its own links and the components so far, no more."""
+    real, leaves = lsh_forest.connected_components, []
+
+    def seen(links, python):
+        leaves.append(links._jdf.queryExecution().analyzed().collectLeaves().size())
+        return real(links, python=python)
+
+    monkeypatch.setattr(lsh_forest, "connected_components", seen)
+    passage = " ".join(f"p{i}" for i in range(76))
+    rows = []
+    for i in range(240):
+        own = [f"own{i}x{k}" for k in range(14)]
+        if i < 40:
+            own[:2] = [f"both{i // 2}x{k}" for k in range(2)]
+        rows.append((i, f"{passage} {' '.join(own)}", None, None, 0))
+    got = {r["doc_id"]: r["component_id"] for r in op8_minhash_near_dedup(spark, make(documents=rows)).collect()}
+    assert got == {i: i - i % 2 if i < 40 else i for i in range(240)}
+    assert len(leaves) > 2 and max(leaves) == 2
