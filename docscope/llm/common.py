@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -107,6 +108,63 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_kept: dict[str, dict] = {}
+#: Resident MB from which a Python worker hands freed memory back, and how many more it has before it tries again.
+ROOM_MB, MORE_MB = 100, 16
+_resident = [ROOM_MB]
+
+
+def kept_by(owner: str, things: dict) -> dict:
+    """``things``, known from now on as what ``owner`` keeps in a worker between tasks."""
+    _kept[owner] = things
+    return things
+
+
+def forget_others(owner: str) -> None:
+    others = [things for name, things in _kept.items() if name != owner and things]
+    for things in others:
+        things.clear()
+    if others:
+        gc.collect()  # they may hold themselves
+        _resident[0] = 0
+        hand_back()
+
+
+def hand_back() -> None:
+    """Give freed memory back to the system, where it has become much."""
+
+    def resident() -> int:
+        try:
+            return int(Path("/proc/self/statm").read_text().split()[1]) >> 8  # pages of 4 KB
+        except (OSError, ValueError):
+            return 0
+
+    if resident() < _resident[0] + MORE_MB:
+        return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+    _resident[0] = max(ROOM_MB, resident())
+
+
+def lean(run: Callable, owner: str = "") -> Callable:
+    """``run``, a function for mapInArrow, in workers that many stages share and that outlive each of them.
+
+    What operators other than ``owner`` keep there goes before, and memory that ``run`` has freed goes back after it.
+    """
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(owner)
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return out
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield ``(first, last, data, offsets)`` for runs of rows of at most ``limit`` bytes (one row at least).
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docscope.llm.common import cut, parts_for, release, ship
+from docscope.llm.common import cut, lean, parts_for, release, ship
 
 #: Rounds grow with the logarithm of the node count; reaching this many means that the edges changed while running.
 MAX_ROUNDS = 60
@@ -64,7 +64,7 @@ def connected_components(edges: DataFrame, python: bool = False) -> DataFrame:
     if python:
         ship(edges)
         rows = edges.count()
-        edges = edges.coalesce(parts_for(rows)).mapInArrow(_forest, "a long, b long")
+        edges = edges.coalesce(parts_for(rows)).mapInArrow(lean(_forest), "a long, b long")
     edges = cut(edges if python else edges.distinct())
     print_of = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = print_of(edges)
@@ -73,7 +73,7 @@ def connected_components(edges: DataFrame, python: bool = False) -> DataFrame:
         # A round never has more edges than twice the one before it.
         stars = _small_star(_large_star(edges))
         if python:
-            stars = stars.coalesce(parts_for(2 * before[0])).mapInArrow(_forest, "a long, b long").distinct()
+            stars = stars.coalesce(parts_for(2 * before[0])).mapInArrow(lean(_forest), "a long, b long").distinct()
         edges = cut(stars, 2 * before[0])
         now = print_of(edges)
         release(edges.sparkSession)

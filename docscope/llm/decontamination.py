@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscope.llm.common import _INVERSE, _power, constants, cut, mix, release, row_keys, ship, spread_join, table, text_slices, word_hashes
+from docscope.llm.common import _INVERSE, _power, constants, cut, lean, mix, release, row_keys, ship, spread_join, table, text_slices, word_hashes
 
 SEED = 5
 COVER = 0.6
@@ -198,7 +198,7 @@ def window_filter(postings: DataFrame) -> np.ndarray:
     """A bit for each value of the first FILTER_BITS bits of a window: 1 << (FILTER_BITS - 3) bytes."""
     slots = postings.select(F.shiftrightunsigned("hash", 64 - FILTER_BITS).cast("int").alias("slot")).distinct()
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in slots.repartition(F.shiftright("slot", 19)).mapInArrow(_bits, "part int, bits binary").collect():
+    for r in slots.repartition(F.shiftright("slot", 19)).mapInArrow(lean(_bits), "part int, bits binary").collect():
         out[r["part"] << 16 : (r["part"] + 1) << 16] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -287,25 +287,25 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, cover: float) -> DataFr
         raise ValueError(f"cover must be at least {FLOOR}")
     ship(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
-    items = items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text").mapInArrow(_read_items, "item long, item_id long, size int, own binary")
+    items = items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text").mapInArrow(lean(_read_items), "item long, item_id long, size int, own binary")
     items = cut(items.filter("size > 0"))
-    postings = items.mapInArrow(_postings, "hash long, item long, size int, place int")
+    postings = items.mapInArrow(lean(_postings), "hash long, item long, size int, place int")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most SEED rows
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), *row_keys("doc_id", "text"), "text")
-    met = cut(rows.mapInArrow(_hits(window_filter(postings), sizes), "row_id long, doc_id long, ka long, kb long, places binary, hashes binary"))
-    seeds = met.filter(F.length("hashes") > 0).mapInArrow(_seeds, "hash long, row_id long")
+    met = cut(rows.mapInArrow(lean(_hits(window_filter(postings), sizes)), "row_id long, doc_id long, ka long, kb long, places binary, hashes binary"))
+    seeds = met.filter(F.length("hashes") > 0).mapInArrow(lean(_seeds), "hash long, row_id long")
     # Windows of the benchmark with the texts that have them (combined before the shuffle), and how many items do.
     texts = seeds.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
     counted = cut(postings.groupBy("hash").agg(F.count(F.lit(1)).alias("weight")).join(texts, "hash"))
     rated = spread_join(postings, counted, ["hash"], size=BLOCK_BYTES)
     rated = rated.groupBy("item", "size").agg(F.collect_list(F.struct("hash", "place", F.coalesce("n", F.lit(0)).alias("n"))).alias("rows"))
-    rare = cut(rated.mapInArrow(_rare, "hash long, item long, weight long"))
+    rare = cut(rated.mapInArrow(lean(_rare), "hash long, item long, weight long"))
     pairs = cut(spread_join(seeds, rare, ["hash"], "inner", size=BLOCK_BYTES).select("row_id", "item").distinct())
     release(docs.sparkSession)
     held = cut(items.join(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("weight")), "item"))
     sides = spread_join(pairs, held, ["item"], "inner", size=BLOCK_BYTES).select("row_id", F.lit(1).alias("side"), "item_id", "size", F.lit(None).cast("binary").alias("places"), F.col("own").alias("hashes"))
     sides = sides.unionByName(met.join(pairs.select("row_id").distinct(), "row_id", "left_semi").select("row_id", F.lit(0).alias("side"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("size"), "places", "hashes"))
-    tiled = sides.repartition("row_id").sortWithinPartitions("row_id", "side").mapInArrow(_tile, "row_id long, item_id long, share double")
+    tiled = sides.repartition("row_id").sortWithinPartitions("row_id", "side").mapInArrow(lean(_tile), "row_id long, item_id long, share double")
     found = tiled.groupBy("row_id").agg(F.array_sort(F.collect_set(F.when(F.col("share") >= cover, F.col("item_id")))).alias("items"), F.max("share").alias("coverage"))
     out = met.select("row_id", "doc_id", "ka", "kb").join(found, "row_id", "left")
     return out.withColumn("items", F.coalesce("items", F.array().cast("array<bigint>"))).withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docscope.llm.common import constants, cut, mix, release, shingle_hashes, ship, spread_join, table, text_slices, word_hashes
+from docscope.llm.common import constants, cut, lean, mix, release, shingle_hashes, ship, spread_join, table, text_slices, word_hashes
 from docscope.llm.components import connected_components
 from docscope.operators.sizes import small
 
@@ -145,11 +145,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(classes: DataFrame, parts: int) -> DataFrame:
     """Candidate pairs ``(a, b, agree)``, a > b, from ``classes (cls, sig)``."""
-    orders = classes.select("cls", "sig").mapInArrow(_orders, "tree int, label binary, cls long")
+    orders = classes.select("cls", "sig").mapInArrow(lean(_orders), "tree int, label binary, cls long")
     found = cut(
         orders.repartitionByRange(parts, "tree", "label", "cls")
         .sortWithinPartitions("tree", "label", "cls")
-        .mapInArrow(_neighbours, "kind int, tree int, label binary, a long, b long, agree int")
+        .mapInArrow(lean(_neighbours), "kind int, tree int, label binary, a long, b long, agree int")
     )
     # The seams are REACH rows at either side of each border: rows of one prefix, ranked there as within a partition.
     seams = found.filter("kind = 1").select("tree", "label", F.col("a").alias("cls")).distinct()
@@ -193,7 +193,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that recur in some of the documents, and their counts there."""
     every = max(1, docs.count() // LOOK)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text").mapInArrow(_shingles, "token long")
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0).select("text").mapInArrow(lean(_shingles), "token long")
     rows = some.groupBy("token").count().filter("count > 1").orderBy(F.desc("count"), "token").limit(COMMON).collect()
     found = sorted((r["token"] % 2**64, r["count"]) for r in rows)
     return np.array([x for x, _ in found], np.uint64), np.array([c for _, c in found], np.int64)
@@ -394,10 +394,10 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, component: Data
     texts = cut(texts.dropDuplicates(["cls", "text"]) if repeated else texts)
     if sift:
         # Most pairs of the prefix-filter join are far apart; a few bits for each value tell, so their texts need not meet.
-        bits = cut(texts.mapInArrow(_parities, "cls long, n long, bits binary"))
+        bits = cut(texts.mapInArrow(lean(_parities), "cls long, n long, bits binary"))
         first = bits.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("abits"))
         second = bits.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bbits"))
-        todo = cut(pairs.join(first, "a").join(second, "b").mapInArrow(_sift, "a long, b long, agree int"))
+        todo = cut(pairs.join(first, "a").join(second, "b").mapInArrow(lean(_sift), "a long, b long, agree int"))
         left_over = todo.count()
         if not left_over:
             return component
@@ -412,7 +412,7 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, component: Data
         chosen = ranked.filter("picked").select("a", "b")
         first = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"), F.col("ka").alias("aka"), F.col("kb").alias("akb"))
         second = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"), F.col("ka").alias("bka"), F.col("kb").alias("bkb"))
-        held = cut(chosen.join(first, "a").join(second, "b").mapInArrow(_confirm, "a long, b long"))
+        held = cut(chosen.join(first, "a").join(second, "b").mapInArrow(lean(_confirm), "a long, b long"))
         links = held if component is None else held.union(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
         component = cut(connected_components(links, python=True), left_over)
         if left_over <= n_nodes:
@@ -440,15 +440,15 @@ def complete(docs: DataFrame, classes: DataFrame, component: DataFrame | None, r
     """Components with every link between them that the forest did not propose."""
     release(docs.sparkSession)
     common, counts = common_shingles(docs)
-    found = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(_prefixes(common, counts), "row_key long, ka long, kb long, n long, prefix binary")
+    found = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").mapInArrow(lean(_prefixes(common, counts)), "row_key long, ka long, kb long, n long, prefix binary")
     of = _of(classes.select("cls", "row_key", "ka", "kb"), component)
     # Rows repeated as a whole have one name: their postings are equal, and make no pairs of different components.
     prefixes = found.join(of, ["row_key", "ka", "kb"]).select("cls", "component", "n", "prefix")
-    postings = prefixes.mapInArrow(_postings, "token long, cls long, component long, n int, place int, before long")
+    postings = prefixes.mapInArrow(lean(_postings), "token long, cls long, component long, n int, place int, before long")
     # A shingle all of whose sets are connected has nothing to add.
-    open_ = cut(postings.repartition("token").sortWithinPartitions("token", "component").mapInArrow(_mixed, postings.schema))
+    open_ = cut(postings.repartition("token").sortWithinPartitions("token", "component").mapInArrow(lean(_mixed), postings.schema))
     release(docs.sparkSession)
-    met = open_.repartition("token").sortWithinPartitions("token").mapInArrow(_meet, "a long, b long, worth int")
+    met = open_.repartition("token").sortWithinPartitions("token").mapInArrow(lean(_meet), "a long, b long, worth int")
     pairs = cut(met.groupBy("a", "b").agg(F.max("worth").alias("agree")))
     return _link(docs, classes, pairs, component, repeated, sift=True)
 
@@ -462,7 +462,7 @@ def groups(docs: DataFrame) -> DataFrame:
     ship(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("row_key2"))
-    signed = cut(rows.mapInArrow(_sign, "doc_id long, row_key long, row_key2 long, n_shingles long, ka long, kb long, sig binary"))
+    signed = cut(rows.mapInArrow(lean(_sign), "doc_id long, row_key long, row_key2 long, n_shingles long, ka long, kb long, sig binary"))
     # A class is named by its set, as texts may share an id.
     classes = cut(
         signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")

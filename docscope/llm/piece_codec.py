@@ -25,7 +25,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from docscope.llm.common import ship, table
+from docscope.llm.common import kept_by, lean, ship, table
 
 MARK = "▁"
 #: Segments kept with their ids, for one Python worker (about 50 MB); the table is emptied when full. Longer ones are not
@@ -220,7 +220,7 @@ class PieceCodec:
         return [int(i) for i in ids.split(",")] if ids else []
 
 
-_codecs: dict[str, PieceCodec] = {}
+_codecs: dict[str, PieceCodec] = kept_by(__name__, {})
 
 
 def codec(model: str) -> PieceCodec:
@@ -257,7 +257,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, keep_ids: bool =
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run, __name__), schema)
 
 
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

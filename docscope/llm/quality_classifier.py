@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docscope.llm.common import cut, mix, ship, table, text_slices, word_hashes
+from docscope.llm.common import cut, lean, mix, ship, table, text_slices, word_hashes
 
 BITS = 11
 BUCKETS = 1 << BITS
@@ -202,7 +202,7 @@ def fit(docs: DataFrame) -> Scorer | None:
     """Learn a scorer from the texts alone; None for an empty table."""
     ship(docs)
     texts = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("long").alias("draw"))
-    coded = cut(texts.mapInArrow(_vote_codes, "code long, draw long"))
+    coded = cut(texts.mapInArrow(lean(_vote_codes), "code long, draw long"))
     patterns = [(r["code"], r["count"]) for r in coded.groupBy("code").count().collect()]
     if not patterns:
         return None
@@ -215,7 +215,7 @@ def fit(docs: DataFrame) -> Scorer | None:
     few = [c for c, s in side.items() if limit[s] == wide]
     drawn = coded.filter((F.col("draw") < narrow) | ((F.col("draw") < wide) & F.col("code").isin(few))).select("draw").distinct()
     # About 2 * SAMPLE numbers, whatever the corpus: small enough to send to the texts.
-    rows = texts.filter(F.col("draw") < wide).join(F.broadcast(drawn), "draw", "left_semi").mapInArrow(_features, "code long, x binary, draw long")
+    rows = texts.filter(F.col("draw") < wide).join(F.broadcast(drawn), "draw", "left_semi").mapInArrow(lean(_features), "code long, x binary, draw long")
     rows = rows.groupBy("draw").agg(F.min(F.struct("code", "x")).alias("row")).select("row.*").collect()
     rows.sort(key=lambda r: (r["code"], bytes(r["x"])))
     if not rows:
@@ -249,7 +249,7 @@ def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
             p = chances(scorer, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(p > KEEP_ABOVE)], ["doc_id", "quality", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, quality double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, quality double, kept boolean")
 
 
 def keep_good(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
@@ -262,7 +262,7 @@ def keep_good(docs: DataFrame, scorer: Scorer | None) -> DataFrame:
             yield batch.filter(pa.array(chances(scorer, batch.column("row").field("text")) > KEEP_ABOVE))
 
     rows = docs.select(F.struct(*names).alias("row"))
-    return rows.mapInArrow(run, rows.schema).select(*(F.col(f"row.`{c}`").alias(c) for c in names))
+    return rows.mapInArrow(lean(run), rows.schema).select(*(F.col(f"row.`{c}`").alias(c) for c in names))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

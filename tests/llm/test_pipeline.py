@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import weakref
 
 import pyarrow as pa
 import pytest
 import sentencepiece
 
 import corpus_pipeline
-from docscope.llm import quality_classifier
-from docscope.llm.piece_codec import default_model
+from docscope.llm import piece_codec, quality_classifier
+from docscope.llm.common import lean
+from docscope.llm.piece_codec import codec, default_model
 from tests.llm.conftest import prose
 from tests.llm.test_dedup import components, tiling
 from tests.llm.test_scans import secrets
@@ -130,3 +132,23 @@ def test_stages_on_awkward_tables(spark, make, nasty, name, stage):
         assert len(rows) == len(nasty)
     empty = stage(spark, docs.limit(0), folder)
     assert empty.collect() == [] and (name == corpus_pipeline.STAGES[-1][0] or empty.columns == docs.columns)
+
+
+def test_a_stage_leaves_no_tables_to_the_next_ones():
+    """Workers outlive their stage: the codec's tables go when another operator's task begins, and stay for its own."""
+    gone = weakref.ref(codec(default_model()))
+    list(lean(iter, piece_codec.__name__)([]))
+    assert gone() is not None
+    list(lean(iter)([]))
+    assert gone() is None
+
+
+def test_workers_start_a_stage_without_the_codec(spark):
+    docs = spark.createDataFrame([(i, prose(30, i)) for i in range(8)], "doc_id long, text string").coalesce(1)
+
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(piece_codec._codecs)], pa.int64())})
+
+    piece_codec.encode_documents(docs).collect()
+    assert docs.mapInArrow(lean(kept), "n long").collect()[0]["n"] == 0
