@@ -1,8 +1,8 @@
 """Exact encoding and decoding with a SentencePiece merge (BPE) vocabulary, without the library's encoder.
 
 A text becomes U+2581 for spaces behind one added U+2581, and splits where no vocabulary piece can span: before a run
-of U+2581 and around characters that no piece holds (those turn into byte pieces). Each segment is encoded by
-backtracking. One scan of an Aho-Corasick automaton over the pieces names the longest match at each position of a
+of U+2581, around characters that no piece holds (those turn into byte pieces), and between letters and other
+characters, as far as no piece holds both side by side. Each segment is encoded by backtracking. One scan of an Aho-Corasick automaton over the pieces names the longest match at each position of a
 segment, and one over a piece its next shorter prefix; a piece may follow another if re-merging the two by the plain merge rule leaves them as they are; a
 bitfield remembers positions from which no valid ending was found, so no position fails twice.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from docscope.llm.common import kept_by, lean, ship, table
 
 MARK = "▁"
-#: Segments kept with their ids, for one Python worker (about 50 MB); the table is emptied when full. Longer ones are not
-#: kept. Workers outlive their stage, so what they keep is missing from the stages after.
+#: Segments kept with their ids, for one Python worker (about 40 MB), in two halves: when one is full the other is
+#: forgotten, so segments in use stay. Longer ones are not kept.
 MEMO, MEMO_CHARS = 200_000, 48
 
 
@@ -39,6 +39,16 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class _Memo(dict):
+    """Values made at their first use by ``make``, which also says what is kept."""
+
+    def __init__(self, make: Callable) -> None:
+        self.make = make
+
+    def __missing__(self, key):
+        return self.make(key)
+
+
 class PieceCodec:
     def __init__(self, model: str) -> None:
         import sentencepiece
@@ -56,16 +66,34 @@ class PieceCodec:
         self.known = {c for p in self.id for c in p}
         self.trie = ahocorasick.Automaton()
         for p in self.id:
-            self.trie.add_word(p, p)
+            if len(p) == 1 or self.merge(p) == [p]:  # others no merge can reach
+                self.trie.add_word(p, p)
         self.trie.make_automaton()
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._own: dict[str, bool] = {}
+        self._pairs = _Memo(self._fits)
         self._less: dict[str, str | None] = {}
         self._name = {p: str(i) for p, i in self.id.items()}
-        self._memo: dict[str, str] = {}
+        self._memo, self._older = _Memo(self._ids_of), {}
         self._unlike: dict[str, str] = {}
-        odd = "".join(sorted(c for c in map(chr, range(32)) if c not in self.known))
-        self._split = re.compile(f"[{re.escape(odd)}]|{MARK}+[^{MARK}{re.escape(odd)}]*|[^{MARK}{re.escape(odd)}]+")
+        # Spaces stand for U+2581 from here on: shorter strings, and no copies of whole texts.
+        odd = re.escape("".join(sorted(c for c in map(chr, range(32)) if c not in self.known)))
+        letters = re.escape("".join(sorted(self._letters())))
+        others = f"[^\\x20{odd}{letters}]"
+        self._split = re.compile(f"\\x20+(?:[{letters}]+|{others}*)|[{letters}]+|{others}+|(?s:.)")
+
+    def _letters(self) -> set[str]:
+        """The characters that pieces connect with "a": no piece holds one of them beside one that is not."""
+        beside: dict[str, set[str]] = {}
+        for p in self.id:
+            body = p.lstrip(MARK)
+            for x, y in zip(body, body[1:]):
+                beside.setdefault(x, set()).add(y)
+                beside.setdefault(y, set()).add(x)
+        found, todo = {"a"}, ["a"]
+        while todo:
+            new = beside.get(todo.pop(), set()) - found
+            found |= new
+            todo += new
+        return found
 
     def merge(self, text: str) -> list[str]:
         """The plain merge rule: always the best-scored adjacent pair, the leftmost of equals."""
@@ -92,24 +120,17 @@ class PieceCodec:
             offer(i, after[i])
         return [p for p in parts if p is not None]
 
-    def _whole(self, piece: str) -> bool:
-        if (got := self._own.get(piece)) is None:
-            got = self._own[piece] = len(piece) == 1 or self.merge(piece) == [piece]
-        return got
-
-    def _fits(self, left: str, right: str) -> bool:
-        if (got := self._pairs.get((left, right))) is None:
-            if len(self._pairs) >= MEMO:
-                self._pairs.clear()
-            got = self._pairs[left, right] = self.merge(left + right) == [left, right]
+    def _fits(self, pair: tuple[str, str]) -> bool:
+        if len(self._pairs) >= MEMO:
+            self._pairs.clear()
+        got = self._pairs[pair] = self.merge(pair[0] + pair[1]) == [*pair]
         return got
 
     def _longest(self, text: str) -> list[str | None]:
         """For each position the longest piece from there on that merges can reach, by one scan of the automaton."""
         out: list[str | None] = [None] * len(text)
         for end, piece in self.trie.iter(text):  # by their ends, so a later match from a position is a longer one
-            if self._whole(piece):
-                out[end + 1 - len(piece)] = piece
+            out[end + 1 - len(piece)] = piece
         return out
 
     def _next(self, piece: str) -> str | None:
@@ -121,49 +142,59 @@ class PieceCodec:
     def backtrack(self, text: str) -> list[str]:
         """Pieces of a text of known characters that holds no two adjacent U+2581."""
         n, at, out = len(text), 0, []
-        open_ = bytearray(b"\xff") * (n // 8 + 1)
-        longest = self._longest(text)
-        piece = longest[0]
+        closed: bytearray | None = None  # a bit for each position, made when the first one fails
+        pairs, longest = self._pairs, self._longest(text)
+        piece, last = longest[0], None
         while at < n:
             if piece is None:
-                open_[at >> 3] &= ~(1 << (at & 7))
+                if closed is None:
+                    closed = bytearray(n // 8 + 1)
+                closed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise ValueError("the vocabulary was not made by merges: a text has no valid cut into pieces")
-                last = out.pop()
-                at -= len(last)
-                piece = self._next(last)
+                at -= len(piece := out.pop())
+                piece, last = self._next(piece), out[-1] if out else None
                 continue
             end = at + len(piece)
-            if open_[end >> 3] >> (end & 7) & 1 and (not out or self._fits(out[-1], piece)):
+            if (closed is None or not closed[end >> 3] >> (end & 7) & 1) and (last is None or pairs[last, piece]):
                 out.append(piece)
-                at = end
+                at, last = end, piece
                 piece = longest[at] if at < n else None
             else:
                 piece = self._next(piece)
         return out
 
+    def _ids_of(self, seg: str) -> str:
+        """The ids of a segment that is not among the latest ones."""
+        if (got := self._older.get(seg)) is None:
+            got = self._segment(seg.replace(" ", MARK))
+        if len(seg) <= MEMO_CHARS:
+            if len(self._memo) >= MEMO // 2:
+                self._older = dict(self._memo)
+                self._memo.clear()
+            self._memo[seg] = got
+        return got
+
     def _segment(self, seg: str) -> str:
         """The segment's ids; its text goes to ``_unlike`` where decoding gives other characters than it had."""
         body = seg.lstrip(MARK)
         marks = len(seg) - len(body)
-        if self.known.issuperset(body):
-            parts = self._run(body, marks)
-            names, text = ",".join([self._name[p] for p in parts]), "".join(parts).replace(MARK, " ")
-        else:
-            ids: list[int] = []
-            run = ""
-            for c in body:
-                if c in self.known:
-                    run += c
-                    continue
-                ids += [self.id[p] for p in self._run(run, marks)] if run or marks else []
-                run, marks = "", 0
-                ids += [self.byte_id[b] for b in c.encode()]
+        if self.known.issuperset(body):  # the pieces put together are the segment
+            return ",".join([self._name[p] for p in self._run(body, marks)])
+        ids: list[int] = []
+        run = ""
+        for c in body:
+            if c in self.known:
+                run += c
+                continue
             ids += [self.id[p] for p in self._run(run, marks)] if run or marks else []
-            names, text = ",".join(map(str, ids)), self._text(ids)
-        if text != seg.replace(MARK, " "):
-            self._unlike[seg] = text
-        return names
+            run, marks = "", 0
+            ids += [self.byte_id[b] for b in c.encode()]
+        ids += [self.id[p] for p in self._run(run, marks)] if run or marks else []
+        text, plain = self._text(ids), seg.replace(MARK, " ")
+        if text != plain:
+            self._unlike[plain] = text
+        return ",".join(map(str, ids))
 
     def _run(self, body: str, marks: int) -> list[str]:
         lead = MARK if marks else ""
@@ -196,24 +227,15 @@ class PieceCodec:
         """(ids joined by commas, how many, the text that they decode to)."""
         if not text:
             return "", 0, ""
-        memo, plain = self._memo, MARK + text.replace(" ", MARK)
+        if len(self._unlike) >= MEMO // 20:  # what it says of kept segments goes with them
+            for kept in (self._memo, self._older, self._unlike):
+                kept.clear()
+        plain = " " + (text.replace(MARK, " ") if MARK in text else text)
         segments = self._split.findall(plain)
-        got = list(map(memo.get, segments))
-        if None in got:
-            if len(memo) + len(segments) > MEMO:
-                memo.clear()
-                self._unlike.clear()
-            for k, seg in enumerate(segments):
-                if got[k] is None:
-                    if (x := memo.get(seg)) is None:
-                        x = self._segment(seg)
-                        if len(seg) <= MEMO_CHARS:
-                            memo[seg] = x
-                    got[k] = x
-        ids = ",".join(got)
+        ids = ",".join(map(self._memo.__getitem__, segments))
         if self._unlike:
-            return ids, ids.count(",") + 1, "".join(self._unlike.get(seg, seg) for seg in segments).replace(MARK, " ")[1:]
-        return ids, ids.count(",") + 1, plain.replace(MARK, " ")[1:]
+            return ids, ids.count(",") + 1, "".join(map(self._unlike.get, segments, segments))[1:]
+        return ids, ids.count(",") + 1, plain[1:]
 
     def encode(self, text: str) -> list[int]:
         ids = self.parts(text)[0]

@@ -67,6 +67,41 @@ def test_full_memo_changes_nothing(codec, library, monkeypatch):
         assert codec.encode(t) == library.encode(t)
 
 
+def segmented(codec, monkeypatch):
+    made, own = [], codec._segment
+    monkeypatch.setattr(codec, "_segment", lambda seg: (made.append(seg), own(seg))[1])
+    return made
+
+
+def test_words_are_one_segment_whatever_follows_them(library, monkeypatch):
+    codec = PieceCodec(default_model())
+    made = segmented(codec, monkeypatch)
+    text = "river, stone, garden, river. stone. garden. river! stone! garden! river stone garden"
+    assert codec.encode(text) == library.encode(text)
+    assert len(made) == 6  # three words and three marks
+
+
+def test_words_in_use_stay_when_the_memo_fills(library, monkeypatch):
+    monkeypatch.setattr("docscope.llm.piece_codec.MEMO", 20)
+    codec = PieceCodec(default_model())
+    made = segmented(codec, monkeypatch)
+    for i in range(200):
+        text = f"the {'abcdefghijklmnopqrst'[i % 20]}{'uvwxyzabcd'[i // 20]}"
+        assert codec.encode(text) == library.encode(text)
+    assert made.count("▁the") == 1
+
+
+def test_pieces_next_to_marks_and_other_scripts(codec, library):
+    rng = random.Random(6)
+    pieces = sorted(codec.id)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+    texts += ["".join(rng.choice("ab.,x:’”«»…éжщя日本 \t\n▁1'\"()😀\x00\x7fﬁ") for _ in range(rng.randint(1, 30))) for _ in range(2000)]
+    for t in texts:
+        ids, n, text = codec.parts(t)
+        want = library.encode(t)
+        assert (ids, n, text) == (",".join(map(str, want)), len(want), library.decode(want)), t
+
+
 def test_codec_query(spark, library):
     texts = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     for r in op7_piece_codec(spark, SF).collect():
