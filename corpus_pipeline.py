@@ -37,7 +37,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     name = name.otherwise(named(2, F.col("component"), F.lit(0).cast("long")))
     first = rows.groupBy(name.alias("name")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key", "row_key2")).alias("x"))
     keys = ["row_key", "row_key2"]
-    kept = cut(first.select("x.row_key", "x.row_key2").join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight")), keys))
+    kept = cut(first.select("x.row_key", "x.row_key2").join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight")), keys), rows.count(), apart=True)
     row = docs.select(F.struct("*").alias("row"))
     row = row.select("row", F.xxhash64("row.doc_id", "row.text").alias("row_key"), F.xxhash64(F.lit(1), "row.text", "row.doc_id").alias("row_key2"))
     out = spread_join(row, kept, keys, "left_semi")

@@ -46,15 +46,17 @@ def ship(df: DataFrame) -> None:
 ROWS_A_PART = 100_000
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, apart: bool = False) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder.
 
     The folder comes from ``spark.checkpoint.dir``; only a local session without that setting gets one of its own. ``rows``,
     a bound on the row count where one is known, keeps small tables from being spread over as many files as a shuffle
-    has partitions.
+    has partitions. The tasks that make the rows become as few; with ``apart``, for narrow rows that take work to make, they
+    stay as many and the rows are shuffled into the files. Without Hadoop's native library an executor launches a process
+    for each file and checksum file it writes, so files are not free.
     """
     if rows is not None:
-        df = df.coalesce(parts_for(rows))
+        df = df.repartition(parts_for(rows)) if apart else df.coalesce(parts_for(rows))
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():

@@ -288,21 +288,23 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, cover: float) -> DataFr
     ship(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL").distinct()
     items = items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text").mapInArrow(lean(_read_items), "item long, item_id long, size int, own binary")
-    items = cut(items.filter("size > 0"))
+    items = cut(items.filter("size > 0"), 100 * benchmark.count(), apart=True)  # items are wide
     postings = items.mapInArrow(lean(_postings), "hash long, item long, size int, place int")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most SEED rows
+    by_size = items.groupBy("size").agg(F.sum(F.length("own") / 8).cast("long").alias("windows")).collect()  # at most SEED rows
+    sizes = sorted(r["size"] for r in by_size)
+    n_windows = sum(r["windows"] for r in by_size)
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), *row_keys("doc_id", "text"), "text")
     met = cut(rows.mapInArrow(lean(_hits(window_filter(postings), sizes)), "row_id long, doc_id long, ka long, kb long, places binary, hashes binary"))
     seeds = met.filter(F.length("hashes") > 0).mapInArrow(lean(_seeds), "hash long, row_id long")
     # Windows of the benchmark with the texts that have them (combined before the shuffle), and how many items do.
     texts = seeds.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    counted = cut(postings.groupBy("hash").agg(F.count(F.lit(1)).alias("weight")).join(texts, "hash"))
+    counted = cut(postings.groupBy("hash").agg(F.count(F.lit(1)).alias("weight")).join(texts, "hash"), n_windows, apart=True)
     rated = spread_join(postings, counted, ["hash"], size=BLOCK_BYTES)
     rated = rated.groupBy("item", "size").agg(F.collect_list(F.struct("hash", "place", F.coalesce("n", F.lit(0)).alias("n"))).alias("rows"))
-    rare = cut(rated.mapInArrow(lean(_rare), "hash long, item long, weight long"))
+    rare = cut(rated.mapInArrow(lean(_rare), "hash long, item long, weight long"), n_windows, apart=True)
     pairs = cut(spread_join(seeds, rare, ["hash"], "inner", size=BLOCK_BYTES).select("row_id", "item").distinct())
     release(docs.sparkSession)
-    held = cut(items.join(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("weight")), "item"))
+    held = cut(items.join(pairs.groupBy("item").agg(F.count(F.lit(1)).alias("weight")), "item"), n_windows, apart=True)
     sides = spread_join(pairs, held, ["item"], "inner", size=BLOCK_BYTES).select("row_id", F.lit(1).alias("side"), "item_id", "size", F.lit(None).cast("binary").alias("places"), F.col("own").alias("hashes"))
     sides = sides.unionByName(met.join(pairs.select("row_id").distinct(), "row_id", "left_semi").select("row_id", F.lit(0).alias("side"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("size"), "places", "hashes"))
     tiled = sides.repartition("row_id").sortWithinPartitions("row_id", "side").mapInArrow(lean(_tile), "row_id long, item_id long, share double")

@@ -388,7 +388,7 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, component: Data
         return component
     release(spark)
     nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    rows = cut(classes.select("cls", "row_key", "ka", "kb").join(nodes, "cls", "left_semi"))
+    rows = cut(classes.select("cls", "row_key", "ka", "kb").join(nodes, "cls", "left_semi"), 2 * left_over, apart=True)
     # Texts travel, not sets: they are smaller. A row repeated as a whole is one of its class once.
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(small(rows) if sift else rows, "row_key").select("cls", "ka", "kb", "text")
     texts = cut(texts.dropDuplicates(["cls", "text"]) if repeated else texts)
@@ -397,7 +397,7 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, component: Data
         bits = cut(texts.mapInArrow(lean(_parities), "cls long, n long, bits binary"))
         first = bits.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("bits").alias("abits"))
         second = bits.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bbits"))
-        todo = cut(pairs.join(first, "a").join(second, "b").mapInArrow(lean(_sift), "a long, b long, agree int"))
+        todo = cut(pairs.join(first, "a").join(second, "b").mapInArrow(lean(_sift), "a long, b long, agree int"), left_over, apart=True)
         left_over = todo.count()
         if not left_over:
             return component
@@ -412,7 +412,7 @@ def _link(docs: DataFrame, classes: DataFrame, pairs: DataFrame, component: Data
         chosen = ranked.filter("picked").select("a", "b")
         first = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"), F.col("ka").alias("aka"), F.col("kb").alias("akb"))
         second = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"), F.col("ka").alias("bka"), F.col("kb").alias("bkb"))
-        held = cut(chosen.join(first, "a").join(second, "b").mapInArrow(lean(_confirm), "a long, b long"))
+        held = cut(chosen.join(first, "a").join(second, "b").mapInArrow(lean(_confirm), "a long, b long"), left_over, apart=True)
         links = held if component is None else held.union(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
         component = cut(connected_components(links, python=True), left_over)
         if left_over <= n_nodes:
@@ -477,9 +477,10 @@ def groups(docs: DataFrame) -> DataFrame:
     # Class -> component. A class may hold most rows and a component most classes, so both joins are spread.
     named = _of(classes.select("ka", "kb", "n_shingles", "id", "cls", F.col("weight").alias("copies")), component)
     least = named.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("weight"))
-    named = spread_join(named, cut(least), ["component"], "inner").select("ka", "kb", "n_shingles", "component", "component_id", F.col("copies").alias("weight"))
+    n_classes = classes.count()
+    named = spread_join(named, cut(least, n_classes, apart=True), ["component"], "inner").select("ka", "kb", "n_shingles", "component", "component_id", F.col("copies").alias("weight"))
     signed = signed.drop("sig")
-    out = spread_join(signed.filter("n_shingles > 0"), cut(named), ["ka", "kb", "n_shingles"])
+    out = spread_join(signed.filter("n_shingles > 0"), cut(named, n_classes, apart=True), ["ka", "kb", "n_shingles"])
     none = signed.filter("n_shingles = 0")
     return out.unionByName(none.withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.lit(None).cast("long")))
 

@@ -202,8 +202,9 @@ def fit(docs: DataFrame) -> Scorer | None:
     """Learn a scorer from the texts alone; None for an empty table."""
     ship(docs)
     texts = docs.select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("long").alias("draw"))
-    coded = cut(texts.mapInArrow(lean(_vote_codes), "code long, draw long"))
-    patterns = [(r["code"], r["count"]) for r in coded.groupBy("code").count().collect()]
+    coded = texts.mapInArrow(lean(_vote_codes), "code long, draw long")
+    coded = cut(coded.groupBy("code", "draw").agg(F.count(F.lit(1)).alias("n")))  # copies once; files by size, not by input split
+    patterns = [(r["code"], r["count"]) for r in coded.groupBy("code").agg(F.sum("n").alias("count")).collect()]
     if not patterns:
         return None
     good, _, _ = fit_labellers(sorted(patterns))

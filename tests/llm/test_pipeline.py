@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import weakref
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -12,7 +13,7 @@ import sentencepiece
 
 import corpus_pipeline
 from docscope.llm import piece_codec, quality_classifier
-from docscope.llm.common import lean
+from docscope.llm.common import cut, lean
 from docscope.llm.piece_codec import codec, default_model
 from tests.llm.conftest import prose
 from tests.llm.test_dedup import components, tiling
@@ -152,3 +153,35 @@ def test_workers_start_a_stage_without_the_codec(spark):
 
     piece_codec.encode_documents(docs).collect()
     assert docs.mapInArrow(lean(kept), "n long").collect()[0]["n"] == 0
+
+
+def files(spark):
+    """Files that checkpoints of this session have written so far."""
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return 0 if folder.isEmpty() else len(list(Path(re.sub("^file:/*", "/", folder.get())).rglob("part-*")))
+
+
+@pytest.mark.parametrize("k,most", [(1, 280), (2, 140)])
+def test_small_tables_take_few_files(spark, make, k, most):
+    """Each file costs an executor a process or two, so tables of few rows are not spread over a file for each shuffle partition."""
+    folder = make(documents=documents(), benchmark=[(1, ITEM)])
+    docs = cut(spark.read.parquet(f"{folder}/documents.parquet").select(*COLUMNS))
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in held}
+    try:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+        n = files(spark)
+        corpus_pipeline.STAGES[k][1](spark, docs, folder)
+        assert files(spark) - n <= most
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_the_fit_takes_few_files(spark):
+    docs = spark.createDataFrame([(i, prose(30, i)) for i in range(200)], "doc_id long, text string").repartition(40)
+    cut(docs)  # so that there is a folder
+    n = files(spark)
+    quality_classifier.fit(docs)
+    assert files(spark) - n <= 4
